@@ -211,7 +211,7 @@ def code_flags(spark, d):
 
 
 @query("a10_numeric_features", sql("""
-SELECT s.doc_id, coalesce(round(least(max(abs(gross_c - used_c - net_c) / greatest(gross_c, 100)::double) FILTER (code = 'C_NET_MATH'), 2), 9), 0) AS rel_net_err,
+SELECT s.doc_id, round(least(coalesce(max(abs(gross_c - used_c - net_c) / greatest(gross_c, 100)::double) FILTER (code = 'C_NET_MATH'), 0), 2), 9) AS rel_net_err,
        (1 + s.doc_id % 8 > 6)::int * 6.0::double + (1 + s.doc_id % 8 <= 6)::int * (1 + s.doc_id % 8)::double AS n_revisions,
        s.ocr_used::int::double AS ocr_used, count(f.code)::double AS n_findings, 1.0::double AS is_pdf
 FROM w2 s LEFT JOIN stub_findings f ON f.doc_id = s.doc_id GROUP BY s.doc_id, s.ocr_used"""))
