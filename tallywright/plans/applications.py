@@ -297,7 +297,7 @@ def applicant_view(spark, d):
 
 @query("p17_apply_reviews", """
 WITH r AS (SELECT l_orderkey AS doc_id, max_by(d, q) AS d FROM (
-  SELECT l_orderkey, list_extract(['genuine','fraudulent','clear','other'], cast(l_partkey % 4 + 1 AS int)) AS d, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS q FROM lineitem) x
+  SELECT l_orderkey, list_extract(['genuine','fraudulent','clear','other'], cast(l_partkey % 4 + 1 AS int)) AS d, cast(l_linenumber AS bigint) * 1000000000 + l_partkey * 10000 + l_suppkey AS q FROM lineitem) x
   WHERE d <> 'other' GROUP BY 1)
 SELECT o_orderkey AS doc_id, CASE WHEN d <> 'clear' THEN d END AS decision FROM orders LEFT JOIN r ON doc_id = o_orderkey""")
 def reviews(spark, d):

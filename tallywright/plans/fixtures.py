@@ -135,7 +135,7 @@ FROM lineitem
 """
 
 D_FILES = """
-SELECT doc_id, doc_id % 50 AS app_id, concat('f', cast(doc_id AS string), '.pdf') AS filename, text,
+SELECT doc_id, doc_id % 5 AS app_id, concat('f', cast(doc_id AS string), '.pdf') AS filename, text,
        cast(n_chars AS bigint) AS size,
        CASE WHEN doc_id % 9 = 0 THEN 'jpeg' WHEN doc_id % 31 = 0 THEN NULL ELSE 'pdf' END AS kind,
        CASE doc_id % 6 WHEN 0 THEN 'Sejda 3.2' WHEN 1 THEN 'Microsoft Word for Microsoft 365' WHEN 2 THEN 'PDFKit'
@@ -287,3 +287,82 @@ def with_views(body: str, *names: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
+
+
+# --- rendered documents ----------------------------------------------------
+
+def _usd(cents: str):
+    from tallywright.functions.text import usd
+    return usd(money(cents))
+
+
+def _spans_of(df: DataFrame, spans: list) -> DataFrame:
+    """(text column, x, y, size, condition) entries to span rows on page 1."""
+    recs = []
+    for i, (text, x, y, size, cond) in enumerate(spans):
+        x, y = (F.lit(float(x)) if not hasattr(x, "cast") else x), (F.lit(float(y)) if not hasattr(y, "cast") else y)
+        rec = F.struct(F.lit(1).alias("page"), F.lit(i).cast("bigint").alias("span_no"), text.alias("text"), x.alias("x0"), y.alias("y0"),
+                       (x + F.length(text) * 5.0).alias("x1"), (y + size).alias("y1"), F.lit("Courier").alias("font"), F.lit(float(size)).alias("size"))
+        recs.append(F.when(text.isNotNull() & cond, rec))
+    return df.select("doc_id", F.inline(F.filter(F.array(*recs), lambda r: r.isNotNull())))
+
+
+def stub_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stub printed as positioned text: labels, side-by-side columns, both column orders."""
+    w = view(spark, sf_dir, "d_wide")
+    yes, lit, c = F.lit(True), F.lit, F.col
+    swap = c("k") % 7 == 0
+    one = lambda cur, ytd: (F.when(swap & c(ytd).isNotNull(), _usd(ytd)).otherwise(_usd(cur)),
+                            F.when(swap & c(ytd).isNotNull(), _usd(cur)).otherwise(_usd(ytd)))
+    w = w.withColumn("net_ytd_c", F.when(c("gross_ytd_c").isNotNull(), c("net_c") * c("n_periods")))
+    name = lambda i: F.split_part(c("employee"), lit(" "), lit(i))
+    has = lambda col: c(col).isNotNull()
+    labelled = (c("k") % 2 == 0) & has("employer")
+    ot = has("ot_c")
+    lines = [
+        (F.when(labelled, lit("Employer:")), 40, 20, 9, yes), (F.when(labelled, c("employer")), 100, 20, 9, yes),
+        (F.when(~labelled, F.coalesce(c("employer"), lit("Delta Letterhead Ltd"))), 40, 40, 16, yes),
+        (lit("Employee:"), 40, 80, 9, has("employee")), (name(1), 95, 80, 9, has("employee")), (name(2), 124, 80, 9, has("employee")),
+        (lit("Employee ID:"), 400, 80, 9, has("employee")), (lit("E-77"), 470, 80, 9, has("employee")),
+        (lit("Pay Date:"), 40, 100, 9, yes), (F.date_format("pay_date", "MM/dd/yyyy"), 100, 100, 9, yes),
+        (lit("Pay Period:"), 40, 120, 9, yes), (c("period_start").cast("string"), 100, 120, 9, yes), (lit("-"), 170, 120, 9, yes),
+        (c("period_end").cast("string"), 180, 120, 9, yes),
+        (lit("Pay Frequency:"), 40, 140, 9, c("frequency_stated")), (F.initcap("frequency"), 120, 140, 9, c("frequency_stated")),
+        (lit("Earnings"), 40, 240, 9, yes), (F.when(swap, lit("YTD")).otherwise(lit("Current")), 200, 240, 9, yes),
+        (F.when(swap, lit("Current")).otherwise(lit("YTD")), 300, 240, 9, yes),
+        (lit("Regular"), 40, 260, 9, yes), (_usd("reg_c"), 120, 260, 9, yes),
+        (lit("Federal Income Tax"), 330, 261, 9, yes), (_usd("fed_c"), 450, 262, 9, yes),
+        (lit("Overtime"), 40, 280, 9, ot), (_usd("rate_c"), 120, 280, 9, ot), (F.format_number(money("hours_c"), 2), 170, 280, 9, ot), (_usd("ot_c"), 230, 281, 9, ot),
+        (lit("Social Security"), 330, 280, 9, yes), (one("ss_c", "ss_ytd_c")[0], 450, 280, 9, yes), (one("ss_c", "ss_ytd_c")[1], 520, 280, 9, yes),
+        (lit("Medicare"), 40, 300, 9, yes), (_usd("med_c"), 120, 300, 9, yes),
+        (lit("Health Insurance"), 40, 320, 9, has("health_c")), (_usd("health_c"), 150, 320, 9, yes),
+        (lit("401(k)"), 40, 340, 9, has("k401_c")), (_usd("k401_c"), 120, 340, 9, yes),
+        (lit("Gross Pay"), 40, 360, 9, has("gross_c")), (one("gross_c", "gross_ytd_c")[0], 120, 360, 9, has("gross_c")), (one("gross_c", "gross_ytd_c")[1], 220, 360, 9, has("gross_c")),
+        (lit("Total Deductions"), 40, 380, 9, has("total_c")), (_usd("total_c"), 150, 380, 9, yes),
+        (lit("Net Pay"), 40, 400, 9, has("net_c")), (one("net_c", "net_ytd_c")[0], 120, 400, 9, has("net_c")), (one("net_c", "net_ytd_c")[1], 220, 400, 9, has("net_c")),
+    ]
+    return _spans_of(w, lines)
+
+
+def stub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+
+
+def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement printed: holder, summary, then one row per line."""
+    yes, lit, c = F.lit(True), F.lit, F.col
+    has = lambda col: c(col).isNotNull()
+    head = _spans_of(view(spark, sf_dir, "d_statements"), [
+        (lit("Account Holder:"), 40, 20, 9, yes), (c("holder"), 130, 20, 9, yes), (lit("Account Number"), 400, 20, 9, yes), (lit("xx-77"), 480, 20, 9, yes),
+        (lit("Beginning Balance"), 40, 40, 9, has("begin_c")), (_usd("begin_c"), 200, 40, 9, yes),
+        (lit("Total Deposits"), 40, 60, 9, yes), (_usd("deposits_c"), 200, 60, 9, yes),
+        (lit("Total Withdrawals"), 40, 80, 9, yes), (_usd("withdrawals_c"), 200, 80, 9, yes),
+        (lit("Ending Balance"), 40, 100, 9, has("end_c")), (_usd("end_c"), 200, 100, 9, yes),
+    ])
+    from tallywright.functions.text import usd
+    t = txns(spark, sf_dir).withColumn("y", 200.0 + c("txn_no") * 12.0)
+    body = _spans_of(t.withColumn("k", c("txn_no")), [
+        (F.date_format("date", "M/d/yyyy"), 40, c("y"), 9, yes), (c("desc"), 120, c("y"), 9, yes),
+        (usd(c("amount")), 300, c("y"), 9, yes), (usd(c("balance")), 400, c("y"), 9, yes),
+    ])
+    return head.unionByName(body)
