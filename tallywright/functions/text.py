@@ -31,7 +31,8 @@ def strip(text: Column, chars: str) -> Column:
 
 
 def money_strings(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(MONEY), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(MONEY), F.lit(1))
+    return F.when(text.contains("."), found).otherwise(F.expr("cast(array() AS array<string>)"))  # cheap test first
 
 
 def to_money(text: Column) -> Column:
@@ -44,7 +45,7 @@ def money_mentions(text: Column) -> Column:
 
 
 def text_before_money(text: Column) -> Column:
-    return F.element_at(F.split(text, MONEY, 2), 1)
+    return F.when(text.contains("."), F.element_at(F.split(text, MONEY, 2), 1)).otherwise(text)
 
 
 def date_strings(text: Column) -> Column:

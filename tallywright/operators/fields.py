@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallywright import constants as K
 from tallywright.functions import text as T
 from tallywright.operators.ordered import top_k
-from tallywright.operators.rows import name_after, with_segments
+from tallywright.operators.rows import with_name, with_segments
 
 WHERE = ("page", "at")
 
@@ -51,30 +51,30 @@ def classify(rows: DataFrame) -> DataFrame:
 
 # --- dates -----------------------------------------------------------------
 
-def date_roles(text: Column) -> Column:
-    """``[(role, date)]`` of a row: pay_date, period_start, period_end."""
-    low = F.lower(text)
-    mentions = F.zip_with(T.date_strings(text), F.slice(T.texts_before_dates(low), 1, F.greatest(F.size(T.date_strings(text)), F.lit(1))),
-                          lambda m, lead: F.struct(T.mention_to_date(m).alias("day"), F.coalesce(lead, F.lit("")).alias("lead")))
-    found = F.filter(mentions, lambda x: x["day"].isNotNull())
+def with_dates(rows: DataFrame) -> DataFrame:
+    """Add ``dates``: the ``(role, date)`` pairs of a row; roles are pay_date, period_start, period_end.
+
+    Built in steps, each a column of its own, so no pattern runs twice on a row.
+    """
+    text = F.col("text")
+    r = rows.withColumn("_said", F.when(text.rlike(r"\p{Nd}") & T.has(text, K.DATE, True), T.date_strings(text)))
+    r = r.withColumn("_lead", F.when(F.col("_said").isNotNull(), T.texts_before_dates(F.lower(text))))
+    r = r.withColumn("_all", F.transform("_said", lambda m, i: F.struct(T.mention_to_date(m).alias("day"), F.get("_lead", i).alias("lead"))))
+    r = r.withColumn("_found", F.filter("_all", lambda x: x["day"].isNotNull()))
     entry = lambda role, day: F.struct(F.lit(role).alias("role"), day.alias("day"))
+    periodic = F.lower(text).contains("period")
 
     def roles(x, i):
-        lead, nxt = x["lead"], F.get(found, i + 1)
-        whole_dash = nxt["lead"].rlike("(?U)^" + K.RANGE_DASH + "$")
+        lead, nxt = x["lead"], F.get("_found", i + 1)
         return (
             F.when(T.has(lead, K.PAY_DATE_LABEL), F.array(entry("pay_date", x["day"])))
             .when(T.has(lead, K.START_LABEL), F.array(entry("period_start", x["day"])))
-            .when(T.has(lead, K.END_LABEL) & low.contains("period"), F.array(entry("period_end", x["day"])))
-            .when(lead.contains("period") & whole_dash, F.array(entry("period_start", x["day"]), entry("period_end", nxt["day"])))
+            .when(T.has(lead, K.END_LABEL) & periodic, F.array(entry("period_end", x["day"])))
+            .when(lead.contains("period") & nxt["lead"].rlike("(?U)^" + K.RANGE_DASH + "$"),
+                  F.array(entry("period_start", x["day"]), entry("period_end", nxt["day"])))
             .otherwise(F.expr("cast(array() AS array<struct<role:string,day:date>>)")))
 
-    return F.flatten(F.transform(found, roles))
-
-
-def with_dates(rows: DataFrame) -> DataFrame:
-    any_date = T.has(F.col("text"), K.DATE, True)
-    return rows.withColumn("dates", F.when(any_date, date_roles(F.col("text"))))
+    return r.withColumn("dates", F.flatten(F.transform("_found", roles))).drop("_said", "_lead", "_all", "_found")
 
 
 def first_role(role: str) -> Column:
@@ -111,7 +111,7 @@ def segment_role(label: Column) -> Column:
 
 def money_segments(rows: DataFrame) -> DataFrame:
     """Labelled segments with amounts, one row each, in reading order."""
-    s = with_segments(rows).select("doc_id", *WHERE, F.posexplode("segs").alias("seg_no", "seg"))
+    s = with_segments(rows).select("doc_id", *WHERE, F.posexplode_outer("segs").alias("seg_no", "seg"))  # outer: no second evaluation to test for emptiness
     s = s.select("doc_id", *WHERE, "seg_no", "seg.label", "seg.vals").where((F.size("vals") > 0) & (F.col("label") != ""))
     return s.withColumn("role", segment_role(F.col("label")))
 
@@ -152,9 +152,8 @@ def stub_headers(rows: DataFrame) -> DataFrame:
     """Per document: names, dates, frequency words and column order."""
     text = F.col("text")
     r = with_dates(rows)
-    emp = F.when(T.has(text, K.EMPLOYEE_ROW, True), name_after(F.col("spans"), K.EMPLOYEE_LABEL))
-    org = F.when(T.has(text, K.EMPLOYER_ROW, True), name_after(F.col("spans"), K.EMPLOYER_LABEL))
-    r = r.withColumn("emp", emp).withColumn("org", org)
+    r = with_name(r, "emp", T.has(text, K.EMPLOYEE_ROW, True), K.EMPLOYEE_LABEL)
+    r = with_name(r, "org", T.has(text, K.EMPLOYER_ROW, True), K.EMPLOYER_LABEL)
     d = r.groupBy("doc_id").agg(
         first(F.col("emp"), F.col("emp").isNotNull()).alias("employee"),
         first(F.col("org"), F.col("org").isNotNull()).alias("employer"),
@@ -273,8 +272,7 @@ def bank_summary(marked: DataFrame) -> DataFrame:
 def account_holder(rows: DataFrame) -> DataFrame:
     """Holder named in the first 14 rows."""
     head = top_k(rows.select("doc_id", *WHERE, "text", "spans"), ["doc_id"], [F.col("page"), F.col("at")], K.HOLDER_ROWS)
-    name = F.when(T.has(F.col("text"), K.HOLDER_ROW, True), name_after(F.col("spans"), K.HOLDER_LABEL))
-    h = head.withColumn("holder", name).where(F.col("holder").isNotNull())
+    h = with_name(head, "holder", T.has(F.col("text"), K.HOLDER_ROW, True), K.HOLDER_LABEL).where(F.col("holder").isNotNull())
     return h.groupBy("doc_id").agg(first(F.col("holder")).alias("holder"))
 
 

@@ -68,3 +68,48 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """The k first rows per key. ``row_number() <= k`` is cut to k per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def with_rank(df: DataFrame, keys: Sequence[str], number: str, name: str = "rank", chunk: int = CHUNK) -> DataFrame:
+    """Exact 1-based position by a unique whole number within ``keys``: position in the chunk plus the rows before it."""
+    keys = list(keys)
+    d = df.withColumn("_chunk", F.floor(F.col(number) / chunk))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(number))
+    sizes = d.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_chunk", before.alias("_before"))
+    return d.withColumn(name, inside).join(sizes, [*keys, "_chunk"]).withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+
+
+def cumulative_counts(df: DataFrame, value: str, counts: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Per distinct value in [0, 1]: the counts at it and, as ``<name>_below``, the counts under it.
+
+    Rows are first collapsed to distinct values; running sums then go through two levels of 10 000 buckets,
+    so no task orders more than one bucket.
+    """
+    keys = list(keys)
+    d = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
+    scaled = F.col(value) * 10000
+    d = d.withColumn("_b1", F.floor(scaled)).withColumn("_b2", F.floor((scaled - F.floor(scaled)) * 10000))
+    under = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fine = d.groupBy(*keys, "_b1", "_b2").agg(*[F.sum(n).alias(n) for n in counts])
+    coarse = fine.groupBy(*keys, "_b1").agg(*[F.sum(n).alias(n) for n in counts])
+    top, mid, low = (Window.partitionBy(*keys).orderBy("_b1"), Window.partitionBy(*keys, "_b1").orderBy("_b2"),
+                     Window.partitionBy(*keys, "_b1", "_b2").orderBy(value))
+    coarse = coarse.select(*keys, "_b1", *[under(n, top).alias(f"_c_{n}") for n in counts])
+    fine = fine.select(*keys, "_b1", "_b2", *[under(n, mid).alias(f"_f_{n}") for n in counts])
+    d = d.select("*", *[under(n, low).alias(f"_v_{n}") for n in counts])
+    d = d.join(fine, [*keys, "_b1", "_b2"]).join(coarse, [*keys, "_b1"])
+    return d.select(*keys, value, *counts, *[(F.col(f"_v_{n}") + F.col(f"_f_{n}") + F.col(f"_c_{n}")).alias(f"{n}_below") for n in counts])
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row: the linearly interpolated quantile of values in [0, 1], without gathering them."""
+    c = cumulative_counts(df, value, {"n": F.count("*")})
+    size = c.agg(F.sum("n").alias("total")).withColumn("at", (F.col("total") - 1) * F.lit(q))
+    d = c.join(F.broadcast(size))  # one row
+    inside = lambda p: (F.col("n_below") <= p) & (p < F.col("n_below") + F.col("n"))
+    lo, hi = F.floor("at"), F.ceil("at")
+    picked = d.agg(F.max(F.when(inside(lo), F.col(value))).alias("a"), F.max(F.when(inside(hi), F.col(value))).alias("b"),
+                   F.max(F.col("at") - F.floor("at")).alias("w"))
+    return picked.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"))

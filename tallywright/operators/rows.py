@@ -9,7 +9,7 @@ from tallywright import constants as K
 from tallywright.functions import text as T
 
 BAND = 64.0  # height of the strips a page is cut into while rows are found
-SPAN = ["x0", "yc", "span_no", "y0", "x1", "y1", "h", "text", "font", "size"]
+SPAN = ["yc", "x0", "span_no", "y0", "x1", "y1", "h", "text", "font", "size"]
 
 
 def clean_spans(spans: DataFrame) -> DataFrame:
@@ -28,27 +28,28 @@ def build_rows(spans: DataFrame) -> DataFrame:
     """
     s = spans.withColumn("yc", (F.col("y0") + F.col("y1")) / 2).withColumn("h", F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)))
     s = s.withColumn("_band", F.floor(F.col("yc") / BAND)).withColumn("_key", F.struct("yc", "x0", "span_no"))
-    page = ["doc_id", "page"]
-    in_band = Window.partitionBy(*page, "_band").orderBy("_key")
-    over_bands = Window.partitionBy(*page).orderBy("_band")
+    page, band = ["doc_id", "page"], ["doc_id", "page", "_band"]
+    in_band = Window.partitionBy(*band).orderBy("_key")
+
+    # Certain starts inside a strip, and the last one up to each span.
+    def marked(x):
+        gap = F.col("yc") - F.lag("yc").over(in_band)
+        x = x.withColumn("_inner", F.when(gap > 0.55 * F.col("h"), F.col("_key")))
+        return x.withColumn("_run", F.max("_inner").over(in_band.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    # Height of the span before, across strips.
-    top = s.groupBy(*page, "_band").agg(F.max("yc").alias("_max"))
-    before = top.select(*page, "_band", F.lag("_max").over(over_bands).alias("_above"))
-    s = s.withColumn("_py", F.lag("yc").over(in_band)).join(before, [*page, "_band"])
-    prev = F.coalesce("_py", "_above")
-    s = s.withColumn("_start", F.when(prev.isNull() | (F.col("yc") - prev > 0.55 * F.col("h")), F.col("_key")))
-
-    # The certain start each span belongs to, across strips.
-    so_far = in_band.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    started = s.groupBy(*page, "_band").agg(F.max("_start").alias("_s"))
-    carried = started.select(*page, "_band", F.max("_s").over(
-        over_bands.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
-    s = s.withColumn("_run", F.max("_start").over(so_far)).join(carried, [*page, "_band"])
-    s = s.withColumn("_run", F.coalesce("_run", "_open"))
-
-    runs = s.groupBy(*page, "_run").agg(F.array_sort(F.collect_list(F.struct("_key", F.struct(*SPAN).alias("s")))).alias("r"))
-    elem = runs.schema["r"].dataType.elementType["s"].dataType.simpleString()
+    # One row per strip decides whether its first span starts a row and which start is open on entry.
+    slim = marked(s.select(*band, "_key", "yc", "h"))
+    over_bands = Window.partitionBy(*page).orderBy("_band")
+    strips = slim.groupBy(*band).agg(
+        F.min_by(F.struct("yc", "h", "_key"), "_key").alias("f"), F.max("yc").alias("low"), F.max("_inner").alias("last"))
+    above = F.lag("low").over(over_bands)
+    strips = strips.withColumn("_first", F.when(above.isNull() | (F.col("f.yc") - above > 0.55 * F.col("f.h")), F.col("f._key")))
+    opened = F.max(F.coalesce("last", "_first")).over(over_bands.rowsBetween(Window.unboundedPreceding, -1))
+    strips = strips.select(*band, F.coalesce("_first", opened).alias("_entry"))
+    s = marked(s).join(strips, band).withColumn("_run", F.coalesce("_run", "_entry"))
+
+    runs = s.groupBy(*page, "_run").agg(F.array_sort(F.collect_list(F.struct(*SPAN))).alias("r"))
+    elem = runs.schema["r"].dataType.elementType.simpleString()
     none = F.expr(f"cast(array() AS array<{elem}>)")
     zero = F.struct(F.expr(f"cast(array() AS array<array<{elem}>>)").alias("done"), none.alias("cur"), F.lit(0.0).alias("anchor"))
 
@@ -60,14 +61,16 @@ def build_rows(spans: DataFrame) -> DataFrame:
             F.when(fresh, F.array(x)).otherwise(F.concat(acc["cur"], F.array(x))).alias("cur"),
             F.when(fresh, x["yc"]).otherwise(acc["anchor"]).alias("anchor"))
 
-    folded = F.aggregate(F.transform("r", lambda x: x["s"]), zero, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
-    rows = runs.select(*page, F.explode(folded).alias("raw"))
-    spans_x = F.array_sort("raw")  # structs start with x0, then yc, then span_no
-    head = F.element_at("raw", 1)
-    rows = rows.select(*page, F.struct(head["yc"].alias("y"), head["x0"].alias("x"), head["span_no"].alias("n")).alias("at"), spans_x.alias("spans"))
+    folded = F.aggregate("r", zero, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    head = F.element_at("r", 1)
+    one_row = F.forall("r", lambda x: F.abs(x["yc"] - head["yc"]) <= 0.55 * x["h"])  # nearly always
+    rows = runs.select(*page, F.explode_outer(F.when(one_row, F.array("r")).otherwise(folded)).alias("raw"))
+    first = F.element_at("raw", 1)
+    by_x = F.array_sort(F.transform("raw", lambda x: F.struct(x["x0"].alias("x0"), *[x[c].alias(c) for c in SPAN if c != "x0"])))
+    rows = rows.select(*page, F.struct(first["yc"].alias("y"), first["x0"].alias("x"), first["span_no"].alias("n")).alias("at"), by_x.alias("spans"))
     pick = lambda f: F.transform("spans", lambda x: x[f])
     return rows.select(
-        *page, "at", F.array_join(pick("text"), " ").alias("text"), F.array_min(pick("x0")).alias("x0"),
+        *page, "at", F.array_join(pick("text"), " ").alias("text"), F.element_at("spans", 1)["x0"].alias("x0"),
         F.array_min(pick("y0")).alias("y0"), F.array_max(pick("x1")).alias("x1"), F.array_max(pick("y1")).alias("y1"), "spans")
 
 
@@ -110,8 +113,16 @@ def with_segments(rows: DataFrame) -> DataFrame:
     return rows.withColumn("facts", facts).withColumn("segs", segs).drop("facts")
 
 
-def name_after(spans: Column, pattern: str) -> Column:
-    """The value behind a label such as ``Employee:`` on one row, or null."""
+def with_name(rows: DataFrame, name: str, cond: Column, pattern: str) -> DataFrame:
+    """Add the value behind a label such as ``Employee:``, on rows that meet ``cond``."""
+    tried = rows.withColumn("_tries", F.when(cond, name_tries(F.col("spans"), pattern)))
+    good = lambda t: F.length(F.regexp_replace(t["name"], "[^A-Za-z]", "")) >= 3
+    tried = tried.withColumn("_hit", F.get(F.filter("_tries", lambda t: t["abort"] | good(t)), F.lit(0)))
+    return tried.withColumn(name, F.when(~F.col("_hit.abort"), F.col("_hit.name"))).drop("_tries", "_hit")
+
+
+def name_tries(spans: Column, pattern: str) -> Column:
+    """What follows each place of a row where the label stands: the words gathered, or abort."""
     anchored = "(?iU)^" + pattern
     get = lambda i: F.element_at(spans, i)
     rest = lambda i: F.regexp_replace(get(i)["text"], anchored, "")
@@ -140,10 +151,7 @@ def name_after(spans: Column, pattern: str) -> Column:
         return F.aggregate(F.slice(spans, i + 1, F.greatest(F.size(spans), F.lit(1))), zero, step, lambda a: F.struct(
             (a["stop"] == 2).alias("abort"), F.trim(F.array_join(F.filter(a["parts"], lambda p: p != ""), " ")).alias("name")))
 
-    tries = F.transform(places, walk)
-    good = lambda t: F.length(F.regexp_replace(t["name"], "[^A-Za-z]", "")) >= 3
-    decided = F.get(F.filter(tries, lambda t: t["abort"] | good(t)), F.lit(0))
-    return F.when(~decided["abort"], decided["name"])
+    return F.transform(places, walk)
 
 
 # --- page and image facts --------------------------------------------------

@@ -88,7 +88,7 @@ hit AS (SELECT * FROM pr WHERE w > 0 AND h > 0 AND w * h / small > 0.45)
 """
 
 
-@query("j5_box_overlap", X.with_views("WITH " + PAIRS + "SELECT doc_id, page, count(*) AS n_pairs, arg_min(t1 || ' / ' || t2, i * 20000000000 + j) AS first_pair FROM hit GROUP BY doc_id, page", "d_spans"))
+@query("j5_box_overlap", X.with_views("WITH " + PAIRS + "SELECT doc_id, page, count(*) AS n_pairs, arg_min(t1 || ' / ' || t2, (i, j)) AS first_pair FROM hit GROUP BY doc_id, page", "d_spans"))
 def box_overlap(spark, d):
     return R.stacked_pages(spans(spark, d)).select("doc_id", "page", F.col("n_pairs").cast("bigint").alias("n_pairs"), F.element_at("pairs", 1).alias("first_pair"))
 
@@ -261,11 +261,11 @@ def unreadable(spark, d):
 
 
 @query("r16_robust_blocks", """
-WITH b AS (SELECT l_suppkey AS page_id, l_partkey % 60 AS bx, l_orderkey % 60 AS by, max(l_quantity + CASE WHEN l_partkey % 60 = 7 AND l_suppkey % 3 = 0 THEN 400 ELSE 0 END) AS score, max(l_tax) AS es FROM lineitem GROUP BY 1, 2, 3),
+WITH b AS (SELECT l_suppkey AS page_id, l_partkey % 60 AS bx, l_orderkey % 60 AS "by", max(l_quantity + CASE WHEN l_partkey % 60 = 7 AND l_suppkey % 3 = 0 THEN 400 ELSE 0 END) AS score, max(l_tax) AS es FROM lineitem GROUP BY 1, 2, 3),
 ok AS (SELECT * FROM b WHERE es > 0.04), md AS (SELECT page_id, median(score) AS med, count(*) AS n_ok FROM ok GROUP BY 1 HAVING count(*) >= 20),
 dv AS (SELECT ok.*, med, n_ok FROM ok JOIN md USING (page_id)), mad AS (SELECT page_id, median(abs(score - med)) * 1.4826::double + 0.5::double AS mad FROM dv GROUP BY 1),
 z AS (SELECT *, (score - med) / mad AS zz FROM dv JOIN mad USING (page_id) WHERE (score - med) / mad > 7)
-SELECT page_id, count(*) AS blocks, round(max(zz), 6) AS z, min(bx) * 24 AS x0, (max(by) + 1) * 24 AS y1 FROM z GROUP BY page_id, n_ok HAVING count(*) >= 2 AND count(*) <= 0.12 * n_ok""")
+SELECT page_id, count(*) AS blocks, round(max(zz), 6) AS z, min(bx) * 24 AS x0, (max("by") + 1) * 24 AS y1 FROM z GROUP BY page_id, n_ok HAVING count(*) >= 2 AND count(*) <= 0.12 * n_ok""")
 def robust_blocks(spark, d):
     li = X.table(spark, d, "lineitem")
     hot = (F.col("l_partkey") % 60 == 7) & (F.col("l_suppkey") % 3 == 0)
@@ -278,7 +278,7 @@ def robust_blocks(spark, d):
 def evidence_boxes(spark, d):
     s = X.stubs(spark, d)
     names = F.array(*[F.lit(n) for n in ("gross", "net", "total_deductions", "employee")])
-    boxes = s.select("doc_id", F.explode(names).alias("field"), F.lit(0).alias("ord"), F.lit(1).alias("page"), F.lit(10.05).alias("x0"), F.lit(1.0).alias("y0"),
+    boxes = s.select("doc_id", F.explode(names).alias("field"), F.lit(0).alias("ord"), F.lit(1).alias("page"), F.lit(10.07).alias("x0"), F.lit(1.0).alias("y0"),
                      F.lit(20.0).alias("x1"), F.lit(9.0).alias("y1"))
     e = evidence(SB.findings(spark, d), boxes).where(F.col("code") == "C_NET_MATH")
     return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.element_at("bbox", 1)).alias("x0"))

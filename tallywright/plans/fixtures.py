@@ -300,21 +300,25 @@ def _spans_of(df: DataFrame, spans: list) -> DataFrame:
     """(text column, x, y, size, condition) entries to span rows on page 1."""
     recs = []
     for i, (text, x, y, size, cond) in enumerate(spans):
-        x, y = (F.lit(float(x)) if not hasattr(x, "cast") else x), (F.lit(float(y)) if not hasattr(y, "cast") else y)
-        rec = F.struct(F.lit(1).alias("page"), F.lit(i).cast("bigint").alias("span_no"), text.alias("text"), x.alias("x0"), y.alias("y0"),
-                       (x + F.length(text) * 5.0).alias("x1"), (y + size).alias("y1"), F.lit("Courier").alias("font"), F.lit(float(size)).alias("size"))
-        recs.append(F.when(text.isNotNull() & cond, rec))
-    return df.select("doc_id", F.inline(F.filter(F.array(*recs), lambda r: r.isNotNull())))
+        pos = [v if hasattr(v, "cast") else F.lit(float(v)) for v in (x, y)]
+        recs.append(F.struct(F.lit(i).cast("bigint").alias("span_no"), (text if cond is None else F.when(cond, text)).alias("text"),
+                             pos[0].alias("x0"), pos[1].alias("y0"), F.lit(float(size)).alias("size")))
+    flat = df.select("doc_id", F.inline(F.array(*recs))).where(F.col("text").isNotNull())
+    return flat.select("doc_id", F.lit(1).alias("page"), "span_no", "text", "x0", "y0", (F.col("x0") + F.length("text") * 5.0).alias("x1"),
+                       (F.col("y0") + F.col("size")).alias("y1"), F.lit("Courier").alias("font"), "size")
 
 
 def stub_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stub printed as positioned text: labels, side-by-side columns, both column orders."""
     w = view(spark, sf_dir, "d_wide")
-    yes, lit, c = F.lit(True), F.lit, F.col
+    yes, lit, c = None, F.lit, F.col
     swap = c("k") % 7 == 0
-    one = lambda cur, ytd: (F.when(swap & c(ytd).isNotNull(), _usd(ytd)).otherwise(_usd(cur)),
-                            F.when(swap & c(ytd).isNotNull(), _usd(cur)).otherwise(_usd(ytd)))
     w = w.withColumn("net_ytd_c", F.when(c("gross_ytd_c").isNotNull(), c("net_c") * c("n_periods")))
+    amounts = ["reg_c", "fed_c", "rate_c", "ot_c", "ss_c", "ss_ytd_c", "med_c", "health_c", "k401_c", "gross_c", "gross_ytd_c", "total_c", "net_c", "net_ytd_c"]
+    w = w.select("*", *[_usd(a).alias(f"s_{a}") for a in amounts])
+    shown = lambda a: c(f"s_{a}")
+    one = lambda cur, ytd: (F.when(swap & c(ytd).isNotNull(), shown(ytd)).otherwise(shown(cur)),
+                            F.when(swap & c(ytd).isNotNull(), shown(cur)).otherwise(shown(ytd)))
     name = lambda i: F.split_part(c("employee"), lit(" "), lit(i))
     has = lambda col: c(col).isNotNull()
     labelled = (c("k") % 2 == 0) & has("employer")
@@ -330,15 +334,15 @@ def stub_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (lit("Pay Frequency:"), 40, 140, 9, c("frequency_stated")), (F.initcap("frequency"), 120, 140, 9, c("frequency_stated")),
         (lit("Earnings"), 40, 240, 9, yes), (F.when(swap, lit("YTD")).otherwise(lit("Current")), 200, 240, 9, yes),
         (F.when(swap, lit("Current")).otherwise(lit("YTD")), 300, 240, 9, yes),
-        (lit("Regular"), 40, 260, 9, yes), (_usd("reg_c"), 120, 260, 9, yes),
-        (lit("Federal Income Tax"), 330, 261, 9, yes), (_usd("fed_c"), 450, 262, 9, yes),
-        (lit("Overtime"), 40, 280, 9, ot), (_usd("rate_c"), 120, 280, 9, ot), (F.format_number(money("hours_c"), 2), 170, 280, 9, ot), (_usd("ot_c"), 230, 281, 9, ot),
+        (lit("Regular"), 40, 260, 9, yes), (shown("reg_c"), 120, 260, 9, yes),
+        (lit("Federal Income Tax"), 330, 261, 9, yes), (shown("fed_c"), 450, 262, 9, yes),
+        (lit("Overtime"), 40, 280, 9, ot), (shown("rate_c"), 120, 280, 9, ot), (F.format_number(money("hours_c"), 2), 170, 280, 9, ot), (shown("ot_c"), 230, 281, 9, ot),
         (lit("Social Security"), 330, 280, 9, yes), (one("ss_c", "ss_ytd_c")[0], 450, 280, 9, yes), (one("ss_c", "ss_ytd_c")[1], 520, 280, 9, yes),
-        (lit("Medicare"), 40, 300, 9, yes), (_usd("med_c"), 120, 300, 9, yes),
-        (lit("Health Insurance"), 40, 320, 9, has("health_c")), (_usd("health_c"), 150, 320, 9, yes),
-        (lit("401(k)"), 40, 340, 9, has("k401_c")), (_usd("k401_c"), 120, 340, 9, yes),
+        (lit("Medicare"), 40, 300, 9, yes), (shown("med_c"), 120, 300, 9, yes),
+        (lit("Health Insurance"), 40, 320, 9, has("health_c")), (shown("health_c"), 150, 320, 9, yes),
+        (lit("401(k)"), 40, 340, 9, has("k401_c")), (shown("k401_c"), 120, 340, 9, yes),
         (lit("Gross Pay"), 40, 360, 9, has("gross_c")), (one("gross_c", "gross_ytd_c")[0], 120, 360, 9, has("gross_c")), (one("gross_c", "gross_ytd_c")[1], 220, 360, 9, has("gross_c")),
-        (lit("Total Deductions"), 40, 380, 9, has("total_c")), (_usd("total_c"), 150, 380, 9, yes),
+        (lit("Total Deductions"), 40, 380, 9, has("total_c")), (shown("total_c"), 150, 380, 9, yes),
         (lit("Net Pay"), 40, 400, 9, has("net_c")), (one("net_c", "net_ytd_c")[0], 120, 400, 9, has("net_c")), (one("net_c", "net_ytd_c")[1], 220, 400, 9, has("net_c")),
     ]
     return _spans_of(w, lines)
@@ -350,7 +354,7 @@ def stub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement printed: holder, summary, then one row per line."""
-    yes, lit, c = F.lit(True), F.lit, F.col
+    yes, lit, c = None, F.lit, F.col
     has = lambda col: c(col).isNotNull()
     head = _spans_of(view(spark, sf_dir, "d_statements"), [
         (lit("Account Holder:"), 40, 20, 9, yes), (c("holder"), 130, 20, 9, yes), (lit("Account Number"), 400, 20, 9, yes), (lit("xx-77"), 480, 20, 9, yes),
