@@ -31,8 +31,8 @@ def fit_score_model(rows: DataFrame, features: list[str] | None = None, trees: i
 def fit_cell_model(rows: DataFrame, features: list[str], trees: int = 300, seed: int = 0) -> PipelineModel:
     """Cell classifier with classes weighted to balance; depth 5 gives at most 32 leaves."""
     n = rows.groupBy("label").agg(F.count("*").alias("_n"))
-    total = n.agg(F.sum("_n").alias("_t"))
-    w = n.join(F.broadcast(total)).select("label", (F.col("_t") / (2 * F.col("_n"))).alias("weight"))  # two rows
+    per = n.agg(F.sum("_n").alias("_t"), F.map_from_entries(F.collect_list(F.struct("label", "_n"))).alias("_by"))  # two classes
+    w = per.select(F.explode("_by").alias("label", "_n"), "_t").select("label", (F.col("_t") / (2 * F.col("_n"))).alias("weight"))
     d = rows.drop("weight").join(F.broadcast(w), "label")
     gbt = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.08, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(d)
@@ -76,8 +76,8 @@ def stratified_holdout(rows: DataFrame, key: str, label: str, share: float = 0.2
 
 def ordered_split(pages: DataFrame, number: str) -> DataFrame:
     """First 70 % to fit, next 10 % to calibrate, the rest to test, by a unique page number."""
-    n = pages.agg(F.count("*").alias("_n"))
-    d = with_rank(pages.withColumn("_one", F.lit(1)), ["_one"], number).join(F.broadcast(n))  # one row
+    n = pages.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    d = with_rank(pages.withColumn("_one", F.lit(1)), ["_one"], number).join(F.broadcast(n), "_one")  # one row
     at = F.col("rank") - 1
     cut = lambda pct: F.floor(F.col("_n") * F.lit(pct))
     return d.withColumn("part", F.when(at < cut(0.7), "fit").when(at < cut(0.8), "calibrate").otherwise("test")).drop("_n", "_one", "rank")
@@ -111,7 +111,7 @@ def headline_rates(rows: DataFrame) -> DataFrame:
 
 
 def confusion_by_kind(rows: DataFrame) -> DataFrame:
-    d = rows.groupBy("kind", "label").pivot("verdict", ["pass", "review", "fail"]).agg(F.count("*"))
+    d = rows.groupBy("kind", "label").pivot("verdict", ["pass", "review", "fail"]).agg(F.count(F.lit(1)))
     count = lambda c: F.coalesce(c, F.lit(0))
     return d.select("kind", "label", *[count(c).alias(f"n_{c}") for c in ("pass", "review", "fail")])
 

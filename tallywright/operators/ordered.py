@@ -106,8 +106,8 @@ def cumulative_counts(df: DataFrame, value: str, counts: dict[str, Column], keys
 def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row: the linearly interpolated quantile of values in [0, 1], without gathering them."""
     c = cumulative_counts(df, value, {"n": F.count("*")})
-    size = c.agg(F.sum("n").alias("total")).withColumn("at", (F.col("total") - 1) * F.lit(q))
-    d = c.join(F.broadcast(size))  # one row
+    size = c.agg(F.sum("n").alias("total")).select(F.lit(0).alias("_k"), ((F.col("total") - 1) * F.lit(q)).alias("at"))
+    d = c.withColumn("_k", F.lit(0)).join(F.broadcast(size), "_k")  # one row
     inside = lambda p: (F.col("n_below") <= p) & (p < F.col("n_below") + F.col("n"))
     lo, hi = F.floor("at"), F.ceil("at")
     picked = d.agg(F.max(F.when(inside(lo), F.col(value))).alias("a"), F.max(F.when(inside(hi), F.col(value))).alias("b"),
