@@ -15,7 +15,9 @@ DATE = "(?iU)" + K.DATE
 
 
 def has(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return text.rlike(("(?iU)" if ignore_case else "(?U)") + pattern)
+    unicode = "U" if ignore_case or "\\" in pattern else ""  # plain letters need no Unicode classes
+    flags = ("i" if ignore_case else "") + unicode
+    return text.rlike(f"(?{flags}){pattern}" if flags else pattern)
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

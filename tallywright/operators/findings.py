@@ -100,7 +100,9 @@ def finding(code: str, severity, emit: int, what: Column, *, category="file", va
 def emit(df: DataFrame, keys: list[str], *rules: tuple[Column, Column]) -> DataFrame:
     """Evaluate all (condition, finding) rules of a row in one projection."""
     found = F.array(*[F.when(cond, rec) for cond, rec in rules])
-    return df.select(*keys, F.inline(F.filter(found, lambda x: x.isNotNull())))
+    # Outer, then filtered: a plain inline makes the optimizer evaluate all rules twice to test for emptiness.
+    # The array is a column of its own so that it is compiled; inside the generator it would be interpreted.
+    return df.select(*keys, found.alias("_found")).select(*keys, F.inline_outer("_found")).where(F.col("code").isNotNull())
 
 
 def soften(severity: str, ocr_used: Column) -> Column:

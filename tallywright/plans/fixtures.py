@@ -17,7 +17,7 @@ BANK_BASE = 1_000_000_000_000
 
 
 def _fl(expr: str, n: int) -> str:
-    return f"cast(floor(({expr})/{n}.0) AS bigint)"
+    return f"(({expr}) DIV {n})"  # amounts are never negative
 
 
 def _pick(words: str, expr: str) -> str:
@@ -67,7 +67,7 @@ FROM ({_BASE}) b
 _PRINTED = f"""
 SELECT *, ss_c + med_c + fed_c + coalesce(health_c, 0) + coalesce(k401_c, 0) AS ded_c,
        CASE WHEN k % 97 = 0 THEN 2 * g0 ELSE g0 END AS g1,
-       1 + cast(floor((dayofyear(pay_date) - 1) / (len_days + 0.0)) AS bigint) AS n_periods
+       1 + cast((dayofyear(pay_date) - 1) DIV len_days AS bigint) AS n_periods
 FROM ({_AMOUNTS}) a
 """
 
@@ -222,7 +222,7 @@ def stub_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(7, "deduction", "401(k)", "k401_c"),
     )
     wide = view(spark, sf_dir, "d_wide")
-    return wide.select("doc_id", F.inline(F.filter(lines, lambda x: x.isNotNull())))
+    return wide.select("doc_id", F.inline_outer(lines)).where(F.col("line_no").isNotNull())
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pairs = F.array(line(0, "paid_on", F.col("paid_desc"), "paid_balance_c"),
                     line(1, "spent_on", F.lit("Card purchase"), "spent_balance_c"))
-    return view(spark, sf_dir, "d_txn_pairs").select("doc_id", "app_id", F.inline(pairs))
+    return view(spark, sf_dir, "d_txn_pairs").select("doc_id", "app_id", F.inline_outer(pairs))
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same tables for the oracle, as common table expressions.
 ORACLE_VIEWS = {
-    **{k: v.replace("AS string)", "AS varchar)") for k, v in VIEWS.items()},
+    **{k: v.replace("AS string)", "AS varchar)").replace(" DIV ", " // ") for k, v in VIEWS.items()},
 }
 ORACLE_VIEWS["o_lines"] = """
 SELECT doc_id, 1 AS line_no, 'earning' AS kind, 'regular' AS label, reg_c AS cur, NULL::bigint AS ytd, NULL::bigint AS rate, NULL::bigint AS hours FROM d_wide WHERE reg_c IS NOT NULL
@@ -303,7 +303,7 @@ def _spans_of(df: DataFrame, spans: list) -> DataFrame:
         pos = [v if hasattr(v, "cast") else F.lit(float(v)) for v in (x, y)]
         recs.append(F.struct(F.lit(i).cast("bigint").alias("span_no"), (text if cond is None else F.when(cond, text)).alias("text"),
                              pos[0].alias("x0"), pos[1].alias("y0"), F.lit(float(size)).alias("size")))
-    flat = df.select("doc_id", F.inline(F.array(*recs))).where(F.col("text").isNotNull())
+    flat = df.select("doc_id", F.inline_outer(F.array(*recs))).where(F.col("text").isNotNull())
     return flat.select("doc_id", F.lit(1).alias("page"), "span_no", "text", "x0", "y0", (F.col("x0") + F.length("text") * 5.0).alias("x1"),
                        (F.col("y0") + F.col("size")).alias("y1"), F.lit("Courier").alias("font"), "size")
 

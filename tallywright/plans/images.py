@@ -133,7 +133,7 @@ def ev(body: str) -> str:
 
 @query("m7_auc", ev("""
 WITH r AS (SELECT kind, y, rank() OVER (PARTITION BY kind ORDER BY score) + (count(*) OVER (PARTITION BY kind, score) - 1) / 2.0 AS rk FROM d_scored)
-SELECT kind, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 9) AS auc FROM r GROUP BY kind"""))
+SELECT kind, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 9) AS auc FROM r GROUP BY kind"""))
 def auc(spark, d):
     return L.auc(scored(spark, d), "score", "label", ("kind",)).select("kind", F.round("auc", 9).alias("auc"))
 
@@ -207,7 +207,7 @@ def localisation(spark, d):
 WITH r AS (SELECT kind, y, score, rank() OVER (PARTITION BY kind ORDER BY score) + (count(*) OVER (PARTITION BY kind, score) - 1) / 2.0 AS rk FROM d_scored)
 SELECT kind AS "set", count(*) FILTER (y = 0) AS genuine, count(*) FILTER (y = 1) AS forged, count(*) FILTER (y = 0 AND score >= 0.7) AS genuine_flagged, count(*) FILTER (y = 1 AND score >= 0.7) AS forged_flagged,
  count(*) FILTER (y = 1 AND score >= 0.8) AS forged_flagged_on_the_edit,
- round_even((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 3) AS page_auc FROM r GROUP BY kind"""))
+ round_even((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 3) AS page_auc FROM r GROUP BY kind"""))
 def public_summary(spark, d):
     p = scored(spark, d).select(F.col("kind").alias("set"), "label", "score", (F.col("score") >= 0.7).alias("flagged"), (F.col("score") >= 0.8).alias("hit"))
     return L.public_summary(p)

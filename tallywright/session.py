@@ -18,6 +18,7 @@ def build_session(app_name: str = "tallywright", master: str | None = None, **se
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # large expressions build much faster
     )
     if master:
         builder = builder.master(master)
