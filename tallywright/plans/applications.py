@@ -16,6 +16,7 @@ from tallywright.plans import fixtures as X
 from tallywright.plans import statements as ST
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
+from tallywright.session import ensure_checkpoint_dir
 
 # Finished stubs with the verdict a reviewer may have replaced.
 REPORTS = """
@@ -70,9 +71,11 @@ def reports(spark, d):
 
 
 def bank(spark, d):
+    """Statements, their chain and facts. Three later steps read the chain, so it is computed once and cut here."""
+    ensure_checkpoint_dir(spark)
     s = X.statements(spark, d)
-    chain = B.balance_chain(X.txns(spark, d), s)
-    return s, chain, B.statement_facts(chain)
+    chain = B.balance_chain(X.txns(spark, d), s).checkpoint()
+    return s, chain, B.statement_facts(chain).checkpoint()
 
 
 @query("w3_consecutive_stubs", sql("SELECT app_id, doc_id, a_doc AS before_doc, gap FROM pairs"))
