@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, as a class for Java patterns. `bytes.split()` in Python splits at the same six.
@@ -45,3 +47,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def word_count(text: Column) -> Column:
     """Number of words (maximal runs without ASCII white space); null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def id_key(doc_id: Column) -> Column:
+    """A join key that null identifiers have as well."""
+    return F.coalesce(F.concat(F.lit("0"), doc_id.cast("string")), F.lit("1"))
+
+
+def only_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` with a (doc_id, digest of the text) in `chosen`, each once, however often the row is repeated."""
+    key, digest, nth = fresh(docs, "key", "digest", "nth")
+    keyed = docs.withColumns({key: id_key(F.col(f"`{doc_id}`")), digest: text_digest(F.col(f"`{text}`"))})
+    wanted = chosen.select(id_key(F.col("doc_id")).alias(key), F.col("digest").alias(digest))
+    found = keyed.join(wanted, [key, digest], "left_semi")
+    return (found.withColumn(nth, F.row_number().over(Window.partitionBy(key, digest).orderBy(key)))
+            .where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def by_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """`mapInArrow`, with this package's place told to local workers (on a cluster it is installed or shipped with the job)."""
+    here, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), df.sparkSession.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (here, env.get("PYTHONPATH")) if p)
+    return df.mapInArrow(run, schema)

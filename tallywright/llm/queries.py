@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, mixing
+from tallywright.llm import chat, exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
