@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, language_id, mixing, simhash
+from tallywright.llm import chat, exact_dedup, language_id, mixing, pieces, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op10_language_id": language_id.op10_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_pieces": pieces.op6_pieces,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
 }
