@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, language_id, mixing, pieces, simhash
+from tallywright.llm import chat, exact_dedup, language_id, mixing, pieces, simhash, token_coder
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op10_language_id": language_id.op10_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_files": token_coder.op4_token_files,
     "op6_pieces": pieces.op6_pieces,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
