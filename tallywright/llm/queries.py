@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, language_id, mixing, pieces, simhash, token_coder
+from tallywright.llm import chat, exact_dedup, language_id, line_crf, mixing, pieces, simhash, token_coder
 
 QUERIES = {
+    "op1_line_crf": line_crf.op1_line_crf,
     "op2_simhash": simhash.op2_simhash,
     "op10_language_id": language_id.op10_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
