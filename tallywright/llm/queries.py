@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, language_id, line_crf, mixing, pieces, simhash, token_coder
+from tallywright.llm import chat, exact_dedup, language_id, line_crf, mixing, pieces, sentence_spans, simhash, token_coder, weak_labels
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -10,6 +10,8 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_files": token_coder.op4_token_files,
+    "op5_weak_labels": weak_labels.op5_weak_labels,
+    "op9_sentence_spans": sentence_spans.op9_sentence_spans,
     "op6_pieces": pieces.op6_pieces,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
