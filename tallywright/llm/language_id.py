@@ -156,9 +156,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {name: row for name in sorted(out) for row in unit_rows(out[name][None, :]) if row.any()}
 
 
-def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
-    """The rows of `docs` with lang_pred and score; columns of these names give way."""
-    docs = docs.drop("lang_pred", "score")
+def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep_text: bool = True,
+               names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of `docs` with the predicted language and its score, under the names given; columns of these names give way."""
+    docs = docs.drop(*names_out)
     names, matrix = list(prototypes), np.stack([*prototypes.values(), np.zeros(DIMENSIONS)])[:-1].T
     seen, = fresh(docs, "seen")
 
@@ -175,12 +176,12 @@ def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "
                     pred = [names[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                     score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                                 [*part.schema.names[:-1], "lang_pred", "score"])
+                                                 [*part.schema.names[:-1], *names_out])
 
     carried = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
     frame = docs.select(*carried, F.col(f"`{text}`").alias(seen))
     fields = [*frame.schema.fields[:-1]]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{names_out[0]}` string, `{names_out[1]}` double"])
     return by_arrow(frame, run, schema)
 
 
