@@ -40,29 +40,27 @@ from tallywright.llm.common import by_arrow, documents, stored
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: A block is closed by the document that fills it to so many ids.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 PIECE = 1_000_000
 
 MAGIC, VERSION = b"TWCB", 1
-LANES, LEAST_ROWS = 2048, 256
+LANES, LEAST_ROWS = 4096, 256
 RENEW = 128
 ORDER0_BITS, SHARE_BITS, HASH_BITS = 20, 8, 18
 TOTAL_BITS = ORDER0_BITS + SHARE_BITS
 LARGEST_VOCABULARY = 1 << 18
 _HEAD = struct.Struct("<4sBIIQII")
-_U = np.uint64
-_LOW32, _LOW48 = _U(0xFFFFFFFF), _U((1 << 48) - 1)
-_16, _32, _48 = _U(16), _U(32), _U(48)
+_LOW32, _LOW48 = (1 << 32) - 1, (1 << 48) - 1
 
 
 class _Model:
-    """What encoder and decoder know alike before each row."""
+    """What encoder and decoder know alike before each row. All numbers are below 2^53, so quotients of floats are exact."""
 
     def __init__(self, vocabulary: int, lanes: int, with_slots: bool):
         self.vocabulary, self.with_slots, self.rows = vocabulary, with_slots, 0
         self.counts = np.zeros(vocabulary, np.int64)
         # a prediction and its confidence (0 to 7, the low three bits)
-        self.after1, self.after2 = np.zeros(vocabulary, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+        self.after1, self.after2 = np.zeros(vocabulary, np.int64), np.zeros(1 << HASH_BITS, np.int64)
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.seen = np.zeros((3, 128), np.int64)  # by confidence and agreement: neither, order 2, order 1 came true
         self._renew()
@@ -77,25 +75,22 @@ class _Model:
             self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.uint16 if self.vocabulary <= 1 << 16 else np.int32), share)
 
     def predict(self) -> None:
-        self.place2 = (self.last2 * 40503 + self.last1 * 0x9E3779B1 >> 7) & ((1 << HASH_BITS) - 1)
-        one, two = self.after1[self.last1], self.after2[self.place2]
+        self.place2 = ((self.last2 * 40503 + self.last1 * 0x9E3779B1) >> 7) & ((1 << HASH_BITS) - 1)
+        one, two = self.after1.take(self.last1), self.after2.take(self.place2)
         self.id1, self.id2, self.sure1, self.sure2 = one >> 3, two >> 3, one & 7, two & 7
-        same = self.id1 == self.id2
-        self.cell = (self.sure2 << 3) + self.sure1 + (same << 6)
-        missed, hit2, hit1 = self.seen
-        base = missed + hit2 + hit1 + 2
-        units = (1 << SHARE_BITS) - 1
-        share2 = units * hit2 // base
-        share1 = units * hit1 // base
-        share1[64:] = 0  # both orders name the same id
-        self.w1, self.w2 = share1[self.cell], share2[self.cell]
-        self.w0 = (1 << SHARE_BITS) - self.w1 - self.w2
-        self.mass1, self.mass2 = self.w1 << ORDER0_BITS, self.w2 << ORDER0_BITS
+        self.cell = (self.sure2 << 3) + self.sure1 + ((self.id1 == self.id2).astype(np.int64) << 6)
+        if self.rows % 4 == 0:
+            missed, hit2, hit1 = self.seen
+            base, units = missed + hit2 + hit1 + 2, (1 << SHARE_BITS) - 1
+            mass1, mass2 = units * hit1 // base, units * hit2 // base
+            mass1[64:] = 0  # both orders name the same id
+            self.mass_of = mass1 << ORDER0_BITS, mass2 << ORDER0_BITS, (1 << SHARE_BITS) - mass1 - mass2
+        self.mass1, self.mass2, self.w0 = (m.take(self.cell) for m in self.mass_of)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids in the mixed distribution."""
-        start = self.start[ids] * self.w0 + (self.id1 < ids) * self.mass1 + (self.id2 < ids) * self.mass2
-        width = self.share[ids] * self.w0 + (self.id1 == ids) * self.mass1 + (self.id2 == ids) * self.mass2
+        start = self.start.take(ids) * self.w0 + (self.id1 < ids) * self.mass1 + (self.id2 < ids) * self.mass2
+        width = self.share.take(ids) * self.w0 + (self.id1 == ids) * self.mass1 + (self.id2 == ids) * self.mass2
         return start, width
 
     def find(self, at: np.ndarray) -> np.ndarray:
@@ -103,21 +98,21 @@ class _Model:
         start1, width1 = self.interval(self.id1)
         start2, width2 = self.interval(self.id2)
         end1, end2 = start1 + width1, start2 + width2
-        rest = at - (at >= end1) * self.mass1 - (at >= end2) * self.mass2
-        in1, in2 = (at >= start1) & (at < end1), (at >= start2) & (at < end2)
-        rest[in1 | in2] = 0
-        ids = self.slots[rest // self.w0].astype(np.int64)
-        return np.where(in1, self.id1, np.where(in2, self.id2, ids))
+        over1, over2 = at >= end1, at >= end2
+        rest = at - over1 * self.mass1 - over2 * self.mass2
+        in1, in2 = (at >= start1) & ~over1, (at >= start2) & ~over2
+        slot = np.minimum((rest / self.w0).astype(np.int64), (1 << ORDER0_BITS) - 1)  # of use only outside both intervals
+        return np.where(in1, self.id1, np.where(in2, self.id2, self.slots.take(slot)))
 
     def update(self, ids: np.ndarray, coded: np.ndarray) -> None:
         """`coded`: all rows up to now."""
         hit1, hit2 = ids == self.id1, ids == self.id2
-        outcome = np.where(hit2, 128, np.where(hit1, 256, 0))
-        self.seen += np.bincount(self.cell + outcome, minlength=384).reshape(3, 128)
+        self.seen += np.bincount(self.cell + np.where(hit2, 128, hit1.astype(np.int64) << 8), minlength=384).reshape(3, 128)
         for table, place, old, sure, hit in ((self.after1, self.last1, self.id1, self.sure1, hit1), (self.after2, self.place2, self.id2, self.sure2, hit2)):
-            fresh = ~hit & (sure == 0)
+            kept = hit | (sure > 0)
+            # a hit adds confidence, a miss takes some, and without any left the new id moves in;
             # where several lanes write one place, the last of them stays, for encoder and decoder alike
-            table[place] = (np.where(fresh, ids, old) << 3) + np.where(hit, np.minimum(sure + 1, 7), np.where(fresh, 1, sure - 1))
+            table[place] = np.where(kept, (old << 3) + np.minimum(sure + 2 * hit - 1, 7), (ids << 3) + 1)
         self.last2, self.last1 = self.last1, ids
         self.rows += 1
         if self.rows & (self.rows - 1) == 0 if self.rows < RENEW else self.rows % RENEW == 0:
@@ -133,52 +128,54 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, int, np.ndarray,
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, rows).T)
     model = _Model(vocabulary, lanes, False)
-    low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-    words, used, all_lanes = np.zeros((lanes, 2 * rows + 4), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
+    width_of_row = 2 * rows + 4
+    words, used = np.zeros(lanes * width_of_row, np.uint32), np.arange(lanes) * width_of_row
     for row in grid:
         model.predict()
         start, width = model.interval(row)
-        unit = span >> _U(TOTAL_BITS)
-        low += unit * start.astype(_U)
-        span = unit * width.astype(_U)
-        carry = np.flatnonzero(low >> _48)
-        if len(carry):
-            words[carry, used[carry] - 1] += 1  # may run over 16 bits until the end
+        unit = span >> TOTAL_BITS
+        low += unit * start
+        span = unit * width
+        if int(low.max()) > _LOW48:
+            words[used[low > _LOW48] - 1] += 1  # may run over 16 bits until the end
             low &= _LOW48
-        while len(short := np.flatnonzero(span >> _32 == 0)):
-            out = low[short]
-            words[short, used[short]] = out >> _32
-            used[short] += 1
-            low[short] = (out & _LOW32) << _16
-            span[short] <<= _16
+        while len(short := np.flatnonzero(span <= _LOW32)):
+            out, at = low.take(short), used.take(short)
+            words[at] = out >> 32
+            used[short] = at + 1
+            low[short] = (out & _LOW32) << 16
+            span[short] = span.take(short) << 16
         model.update(row, grid)
-    for shift in (_32, _16, _U(0)):
-        words[all_lanes, used] = (low >> shift) & _U(0xFFFF)
+    for shift in (32, 16, 0):
+        words[used] = (low >> shift) & 0xFFFF
         used += 1
+    words, used = words.reshape(lanes, width_of_row), used - np.arange(lanes) * width_of_row
     while (over := words >> 16).any():
         words &= 0xFFFF
         words[:, :-1] += over[:, 1:]
-    return lanes, rows, used, words[np.arange(words.shape[1]) < used[:, None]].astype("<u2")
+    return lanes, rows, used, words[np.arange(width_of_row) < used[:, None]].astype("<u2")
 
 
 def decode_ids(n: int, vocabulary: int, lanes: int, rows: int, used: np.ndarray, words: np.ndarray) -> np.ndarray:
     at = np.cumsum(used) - used
-    words = np.r_[words, np.zeros(4, words.dtype)].astype(_U)
-    code, span = (words[at] << _32) | (words[at + 1] << _16) | words[at + 2], np.full(lanes, 1 << 48, _U)
+    words = np.r_[words, np.zeros(4, words.dtype)].astype(np.int64)
+    code, span = (words[at] << 32) | (words[at + 1] << 16) | words[at + 2], np.full(lanes, 1 << 48)
     at += 3
     model, grid = _Model(vocabulary, lanes, True), np.zeros((rows, lanes), np.int64)
     top = (1 << TOTAL_BITS) - 1
     for r in range(rows):
         model.predict()
-        unit = span >> _U(TOTAL_BITS)
-        ids = model.find(np.minimum((code // unit).astype(np.int64), top))
+        unit = span >> TOTAL_BITS
+        ids = model.find(np.minimum((code / unit).astype(np.int64), top))
         start, width = model.interval(ids)
-        code -= unit * start.astype(_U)
-        span = unit * width.astype(_U)
-        while len(short := np.flatnonzero(span >> _32 == 0)):
-            code[short] = (code[short] << _16) | words[np.minimum(at[short], len(words) - 1)]
-            at[short] += 1
-            span[short] <<= _16
+        code -= unit * start
+        span = unit * width
+        while len(short := np.flatnonzero(span <= _LOW32)):
+            place = at.take(short)
+            code[short] = (code.take(short) << 16) | words.take(place, mode="clip")
+            at[short] = place + 1
+            span[short] = span.take(short) << 16
         grid[r] = ids
         model.update(ids, grid)
     return grid.T.ravel()[:n]
