@@ -15,12 +15,17 @@ from tallywright.session import ensure_checkpoint_dir
 C = K.CELL
 
 
-def pixel_measures(pixels: DataFrame) -> DataFrame:
+def pixel_measures(pixels: DataFrame, least_cells: int = K.MIN_CELLS) -> DataFrame:
     """Gradient and 3x3 high-pass per pixel, with its cell.
 
     ``pixels``: page_id, x, y, r, g, b, e90, e75. Each pixel is sent to its own cell and, on a border, to the
     cells next to it; after that one shuffle by cell everything is local. Image borders repeat the edge pixel.
+    Pages under ``least_cells`` full cells a side are left out.
     """
+    if least_cells > 1:
+        size = pixels.groupBy("page_id").agg(F.max("x").alias("_x"), F.max("y").alias("_y"))
+        large = size.where((F.floor((F.col("_x") + 1) / C) >= least_cells) & (F.floor((F.col("_y") + 1) / C) >= least_cells))
+        pixels = pixels.join(large.select("page_id"), "page_id", "left_semi")
     grey = (F.col("r") + F.col("g") + F.col("b")) / 3.0
     near = lambda v: F.array_distinct(F.array(F.floor((F.col(v) - 1) / C), F.floor(F.col(v) / C), F.floor((F.col(v) + 1) / C)))
     p = pixels.select("page_id", "x", "y", grey.alias("grey"), (F.abs(F.col("r") - F.col("g")) + F.abs(F.col("g") - F.col("b"))).alias("chroma"), "e90", "e75")

@@ -41,27 +41,27 @@ CATALOG = {
     ("F_INCREMENTAL", ""): ("Later revisions appended", "Editors append changes to a file; a generated statement has one revision.", "The single-revision export."),
     ("F_ANNOT", ""): ("Objects placed over the page", "Annotations are added by hand and can hide figures.", "A copy without annotations."),
     ("F_TEXT_ON_SCAN", ""): ("Typed text over a scan", "A scan is one picture; live text over it was added later.", "The digital original or an unaltered scan."),
-    ("F_STACKED", ""): ("A value was covered and retyped", "Covered text stays in the file under the text that replaced it.", "A statement where each figure exists once."),
-    ("F_PATCH", ""): ("White boxes behind figures", "A lone blank box under a figure is how a value is whited out.", "The export without cover-up shapes."),
-    ("F_FONT", ""): ("Figures in another typeface", "Payroll software prints every amount in one font.", "A statement with one typeface for amounts."),
-    ("F_ALIGN", ""): ("A figure is out of its column", "Generated columns share one right edge.", "A statement with aligned amounts."),
-    ("F_SIZE", ""): ("Two sizes on one line", "Amounts on a line are printed together at one size.", "A statement with one size per line."),
+    ("F_STACKED", ""): ("Two texts lie on one spot", "Covered text stays in the file under the text that replaced it.", "A statement where each figure exists once."),
+    ("F_PATCH", ""): ("Blank rectangles under text", "A lone blank box under a figure is how a value is whited out.", "The export without cover-up shapes."),
+    ("F_FONT", ""): ("More than one typeface for amounts", "Payroll software prints every amount in one font.", "A statement with one typeface for amounts."),
+    ("F_ALIGN", ""): ("An amount stands off the common edge", "Generated columns share one right edge.", "A statement with aligned amounts."),
+    ("F_SIZE", ""): ("Unequal print sizes in a line", "Amounts on a line are printed together at one size.", "A statement with one size per line."),
     ("F_SCAN", "image"): ("A picture, not the original file", "A picture keeps none of the structure that lets a file be authenticated.", "The provider's PDF."),
     ("F_SCAN", "pdf"): ("A scan inside a PDF", "A picture keeps none of the structure that lets a file be authenticated.", "The provider's PDF."),
     ("F_PIXEL", ""): ("Areas to look at in the image", "Edited spots keep another texture than the page around them; experimental, no effect on the result.", "The provider's PDF."),
     ("C_UNREADABLE", "kind"): ("The file could not be opened", "Nothing in it can be checked.", "A PDF or image that opens without a password."),
-    ("C_UNREADABLE", "words"): ("Almost no text could be read", "The copy is too poor to check.", "A sharp, complete copy."),
-    ("C_MISSING", "stub"): ("Required information is missing", "The stub cannot be tied to a person, employer and period without it.", "A complete pay stub."),
+    ("C_UNREADABLE", "words"): ("Too few words to go by", "The copy is too poor to check.", "A sharp, complete copy."),
+    ("C_MISSING", "stub"): ("Facts that identify the stub are absent", "The stub cannot be tied to a person, employer and period without it.", "A complete pay stub."),
     ("C_MISSING", "bank"): ("No balances or transactions found", "The statement cannot be reconciled.", "The full statement."),
-    ("C_NET_MATH", ""): ("Gross less deductions is not net", "Payroll software computes net, so the three always agree.", "A stub that balances."),
-    ("C_DED_SUM", ""): ("Deductions do not reach the stated total", "The total is the sum of its lines.", "A stub whose lines add up."),
-    ("C_EARN_SUM", ""): ("Earnings do not reach gross pay", "Gross is the sum of the earnings lines.", "A stub whose lines add up."),
-    ("C_RATE_HOURS", ""): ("Rate times hours is not the amount", "The payroll system multiplies; a line that fails was typed.", "A stub whose line multiplies out."),
+    ("C_NET_MATH", ""): ("Net does not follow from gross", "Payroll software computes net, so the three always agree.", "A stub that balances."),
+    ("C_DED_SUM", ""): ("Deduction lines and their total differ", "The total is the sum of its lines.", "A stub whose lines add up."),
+    ("C_EARN_SUM", ""): ("Earnings lines and gross differ", "Gross is the sum of the earnings lines.", "A stub whose lines add up."),
+    ("C_RATE_HOURS", ""): ("An hourly line does not multiply out", "The payroll system multiplies; a line that fails was typed.", "A stub whose line multiplies out."),
     ("C_FICA_SS", ""): ("Social Security does not fit the gross", "The rate is fixed by law, so the line reveals the real wages.", "A stub at 6.20% of taxable wages."),
     ("C_FICA_MED", ""): ("Medicare does not fit the gross", "The rate is fixed by law, so the line reveals the real wages.", "A stub at 1.45% of taxable wages."),
-    ("C_YTD_LT", ""): ("Year to date is below this period", "Year to date includes this period.", "A stub with year-to-date at least the current amount."),
+    ("C_YTD_LT", ""): ("The yearly sum is smaller than the period's", "Year to date includes this period.", "A stub with year-to-date at least the current amount."),
     ("C_YTD_PACE", ""): ("Year to date is too high for the date", "It grows by one paycheck per period.", "Earlier stubs of the year or employer confirmation."),
-    ("C_DATES", "length"): ("Pay period ends before it starts", "No payroll system prints a negative period.", "A stub with a valid period."),
+    ("C_DATES", "length"): ("The period runs backwards", "No payroll system prints a negative period.", "A stub with a valid period."),
     ("C_DATES", "early"): ("Paid before the period begins", "Wages are paid during or after their period.", "A stub paid on or after its period."),
     ("C_FUTURE", ""): ("Pay date lies ahead", "A stub is issued when wages are paid.", "A stub already paid."),
     ("C_STALE", ""): ("Stub older than 90 days", "Old stubs show past income.", "Stubs of the last 60 days."),
@@ -71,16 +71,16 @@ CATALOG = {
     ("C_NAME", "stub"): ("Stub is for another person", "Income counts only for its earner.", "Documents of the applicant or proof of a name change."),
     ("C_NAME", "bank"): ("Applicant is not on the statement", "Deposits count only for the account's owner.", "A statement in the applicant's name."),
     ("C_TYPE", ""): ("Not a pay stub or bank statement", "Only those two can be reconciled.", "A pay stub or a bank statement."),
-    ("B_RUNNING", ""): ("Running balance breaks", "Each balance is the one before plus or minus its line.", "The bank's own download."),
+    ("B_RUNNING", ""): ("A balance does not follow from its line", "Each balance is the one before plus or minus its line.", "The bank's own download."),
     ("B_ENDING", ""): ("Last balance is not the ending balance", "The summary is derived from the lines.", "The complete statement."),
     ("B_SUMMARY", ""): ("Summary does not balance", "It is the accounting identity of a statement.", "A statement whose summary balances."),
     ("B_DEPOSITS", ""): ("Deposits do not reach their total", "An inflated line breaks the total.", "The unaltered statement."),
-    ("X_DUP", ""): ("Same file twice", "A copy adds no evidence.", "A different period per stub."),
+    ("X_DUP", ""): ("An upload repeats another", "A copy adds no evidence.", "A different period per stub."),
     ("X_SAME_PERIOD", ""): ("One pay date, two different nets", "An employer issues one stub per pay date.", "The one stub issued for that date."),
     ("X_YTD", "step"): ("Year to date does not step by the gross", "On consecutive stubs it rises by exactly the gross.", "Consecutive stubs that agree."),
     ("X_YTD", "gap"): ("Year to date rose by less than one paycheck", "It grows by at least each period's pay.", "Consistent consecutive stubs."),
-    ("X_DEPOSIT_OK", ""): ("Net pay found as a deposit", "An independent document supports the stub.", "Nothing needed."),
-    ("X_DEPOSIT", ""): ("Net pay is not among the deposits", "Direct deposits appear in the account.", "The statement of the account paid, or payroll verification."),
+    ("X_DEPOSIT_OK", ""): ("A deposit equals the net pay", "An independent document supports the stub.", "Nothing needed."),
+    ("X_DEPOSIT", ""): ("No deposit equals the net pay", "Direct deposits appear in the account.", "The statement of the account paid, or payroll verification."),
 }
 
 

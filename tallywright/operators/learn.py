@@ -24,6 +24,7 @@ def training_rows(base: DataFrame, labelled: DataFrame) -> DataFrame:
 def fit_score_model(rows: DataFrame, features: list[str] | None = None, trees: int = 160, seed: int = 0) -> PipelineModel:
     """Boosted trees: 160 of depth 3, step 0.08, subsample 0.9, weighted."""
     names = features or FEATURES
+    rows = rows.dropna(subset=names)  # unreadable documents have no features
     gbt = GBTClassifier(labelCol="label", featuresCol="x", weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.08, subsamplingRate=0.9, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), gbt]).fit(rows)
 
@@ -127,14 +128,22 @@ def thresholds(page_maxima: DataFrame, score: str = "score") -> DataFrame:
     return exact_quantile(page_maxima, score, 0.98).select(t.alias("t_page"), F.least(F.lit(0.5), t * 0.6).alias("t_cell"))
 
 
-def cell_labels(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+def cell_labels(cells: DataFrame, boxes: DataFrame, scales: DataFrame | None = None) -> DataFrame:
     """1 where an edit covers at least 0.2 of the cell, -1 where it touches less, else 0.
 
-    Boxes go to the cells they reach, so cells and boxes meet by equality only.
+    Boxes go to the cells they reach, within the page's own cells, so cells and boxes meet by equality only.
+    ``scales``: page_id, scale of pages that were resized before they were cut into cells; their cells are larger
+    in the boxes' pixels.
     """
-    c = float(K.CELL)
-    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / c), F.floor(F.col(hi) / c)))
-    b = boxes.select("page_id", "x0", "y0", "x1", "y1").distinct().withColumn("cl", reach("x0", "x1")).withColumn("rw", reach("y0", "y1"))
+    page = cells.groupBy("page_id").agg(F.max("cl").alias("_mc"), F.max("rw").alias("_mr"))
+    b = boxes.select("page_id", "x0", "y0", "x1", "y1").distinct().join(page, "page_id")
+    b = b.withColumn("scale", F.lit(1.0)) if scales is None else b.join(scales.select("page_id", "scale"), "page_id", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+    b = b.withColumn("side", F.lit(float(K.CELL)) / F.col("scale"))
+    c = F.col("side")
+    first = lambda lo: F.greatest(F.floor(F.col(lo) / c), F.lit(0))
+    end = lambda hi, most: F.least(F.floor(F.col(hi) / c), F.col(most).cast("bigint"))
+    b = b.where((first("x0") <= end("x1", "_mc")) & (first("y0") <= end("y1", "_mr"))).withColumn(
+        "cl", F.explode(F.sequence(first("x0"), end("x1", "_mc")))).withColumn("rw", F.explode(F.sequence(first("y0"), end("y1", "_mr"))))
     cell = (F.col("cl") * c, F.col("rw") * c, F.col("cl") * c + c, F.col("rw") * c + c)
     w, h = F.greatest(G.overlap_width(cell, G.box()), F.lit(0.0)), F.greatest(G.overlap_height(cell, G.box()), F.lit(0.0))
     best = b.select("page_id", F.col("rw").cast("int").alias("rw"), F.col("cl").cast("int").alias("cl"), (w * h / (c * c)).alias("f")).groupBy("page_id", "rw", "cl").agg(F.max("f").alias("f"))
@@ -144,10 +153,14 @@ def cell_labels(cells: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def regions_on_edits(regions: DataFrame, boxes: DataFrame, grid: float = 96.0) -> DataFrame:
     """Regions that touch a truth box, edges included; met through shared grid squares."""
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / grid), F.floor(F.col(hi) / grid)))
     r = regions.select("page_id", "region", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
-    r = r.withColumn("gx", cells("r_x0", "r_x1")).withColumn("gy", cells("r_y0", "r_y1"))
-    b = boxes.select("page_id", "x0", "y0", "x1", "y1").distinct().withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1"))
+    # neither side is laid out beyond what the page's regions reach
+    reach = r.groupBy("page_id").agg(F.min("r_x0").alias("_ax"), F.min("r_y0").alias("_ay"), F.max("r_x1").alias("_bx"), F.max("r_y1").alias("_by"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / grid), F.floor(hi / grid)))
+    r = r.withColumn("gx", cells(F.col("r_x0"), F.col("r_x1"))).withColumn("gy", cells(F.col("r_y0"), F.col("r_y1")))
+    b = boxes.select("page_id", "x0", "y0", "x1", "y1").distinct().join(reach, "page_id")
+    left, up, right, down = F.greatest("x0", "_ax"), F.greatest("y0", "_ay"), F.least("x1", "_bx"), F.least("y1", "_by")
+    b = b.where((left <= right) & (up <= down)).withColumn("gx", cells(left, right)).withColumn("gy", cells(up, down)).drop("_ax", "_ay", "_bx", "_by")
     cond = [r[c] == b[c] for c in ("page_id", "gx", "gy")] + [G.touches((r["r_x0"], r["r_y0"], r["r_x1"], r["r_y1"]), (b["x0"], b["y0"], b["x1"], b["y1"]))]
     return r.join(b, cond, "left_semi").select("page_id", "region").distinct()
 

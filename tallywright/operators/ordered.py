@@ -1,9 +1,10 @@
 """Ordered operators that hold up when one key owns a large share of the rows.
 
-A plain ``lag`` puts a whole key into one task. Here a key's rows are cut into chunks by the value of
-the ordering number (a unique integer, so a chunk can never exceed ``CHUNK`` rows), the neighbour is
-found inside each chunk, and only one row per chunk travels to the next level to fill the chunk's
-first row.
+A plain ``lag`` puts a whole key into one task. Here the rows of a key with more than ``CHUNK`` of them are
+cut into chunks by the value of the ordering number (a unique whole number). The width of a chunk follows
+from the key's own range and count, so sparse numbers such as hashes fill chunks as well as dense ones. The
+neighbour is found inside each chunk, and only one row per chunk travels to the next level to fill the
+chunk's first row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
+def _with_chunk(df: DataFrame, levels: Sequence[str], number: str, chunk: int) -> DataFrame:
+    """Add _chunk: 0 for keys of up to ``chunk`` rows. Only larger keys are looked up, one in ``chunk`` rows at most."""
+    value = F.col(number).cast("double")
+    wide = (df.groupBy(*levels).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
+            .select(*levels, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_rows") / chunk)).alias("_width")))
+    at = F.coalesce(F.floor((value - F.col("_lo")) / F.col("_width")), F.lit(0))
+    return df.join(F.broadcast(wide), list(levels), "left").withColumn("_chunk", at).drop("_lo", "_width")
+
+
 def _fill_from_level(df: DataFrame, keys: Sequence[str], level: str, inner: Column, payload: Column) -> DataFrame:
     """Give each (keys, level) group's first row the last payload of the level before it."""
     tails = df.groupBy(*keys, level).agg(F.max_by(payload, inner).alias("_tail"))
@@ -49,7 +59,7 @@ def with_previous(
     value = F.struct(*payload)
     order = F.col(number)
     levels = keys + ([outer] if outer else [])
-    out = df.withColumn("_chunk", F.floor(order / chunk))
+    out = _with_chunk(df, levels, number, chunk)
     inside = Window.partitionBy(*levels, "_chunk").orderBy(number)
     out = out.withColumn("_prev", F.lag(value).over(inside))
     out = _fill_from_level(out, levels, "_chunk", order, value)
@@ -73,7 +83,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def with_rank(df: DataFrame, keys: Sequence[str], number: str, name: str = "rank", chunk: int = CHUNK) -> DataFrame:
     """Exact 1-based position by a unique whole number within ``keys``: position in the chunk plus the rows before it."""
     keys = list(keys)
-    d = df.withColumn("_chunk", F.floor(F.col(number) / chunk))
+    d = _with_chunk(df, keys, number, chunk)
     inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(number))
     sizes = d.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

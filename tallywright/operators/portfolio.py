@@ -19,17 +19,20 @@ def effective_verdict(decision: Column, verdict: Column) -> Column:
 
 
 def validate_uploads(uploads: DataFrame) -> DataFrame:
-    """Mark each upload with a reject_reason or null. Needs request_id, seq, filename, size, kind.
+    """Mark each upload with a reject_reason or null, and its request. Needs request_id, seq, filename, size, kind.
 
-    Files past the first ten of a request are not taken; every row is kept and labelled.
+    Files past the first ten of a request are not taken, empty ones are passed over; a file that is too large or of no
+    known type rejects its whole request (request_rejected), of which nothing is stored. Every row is kept and labelled.
     """
     over = top_k(uploads.select("request_id", "seq"), ["request_id"], [F.col("seq")], K.MAX_FILES_PER_REQUEST)
     taken = over.select("request_id", "seq", F.lit(True).alias("_taken"))
     base = F.regexp_extract(F.coalesce("filename", F.lit("document")), "[^/]*$", 0)
-    return uploads.join(taken, ["request_id", "seq"], "left").select(
+    marked = uploads.join(taken, ["request_id", "seq"], "left").select(
         *[c for c in uploads.columns if c != "filename"], F.substring(base, 1, K.NAME_CHARS).alias("filename"),
         F.when(F.col("_taken").isNull(), "too_many_files").when(F.col("size") > K.MAX_UPLOAD_BYTES, "too_large")
         .when(F.col("size") == 0, "empty").when(F.col("kind").isNull(), "unknown_type").alias("reject_reason"))
+    fatal = marked.where(F.col("reject_reason").isin("too_large", "unknown_type")).select("request_id").distinct().withColumn("request_rejected", F.lit(True))
+    return marked.join(fatal, "request_id", "left").withColumn("request_rejected", F.coalesce("request_rejected", F.lit(False)))
 
 
 def open_for_public_upload(documents: DataFrame, applications: DataFrame) -> DataFrame:
@@ -55,11 +58,12 @@ def document_counts(documents: DataFrame) -> DataFrame:
 
 
 def document_rows(documents: DataFrame) -> DataFrame:
-    """The reviewer's list of documents."""
+    """The reviewer's list of documents; risk, doc_type, source and created_at where the documents have them."""
+    more = [c for c in ("risk", "doc_type", "source", "created_at") if c in documents.columns]
     eff = effective_verdict(F.col("decision"), F.col("verdict"))
     return documents.select(
         "doc_id", "app_id", "filename", "status", eff.alias("verdict"), F.col("verdict").alias("engine_verdict"),
-        F.col("decision").isNotNull().alias("reviewed"), lookup(K.HEADLINES, eff).alias("headline"))
+        F.col("decision").isNotNull().alias("reviewed"), lookup(K.HEADLINES, eff).alias("headline"), *more)
 
 
 def applicant_view(documents: DataFrame) -> DataFrame:
@@ -129,15 +133,25 @@ def rollup(documents: DataFrame, cross: DataFrame) -> DataFrame:
         F.when(F.col("n_done") > 0, F.element_at(F.array(F.lit("pass"), F.lit("review"), F.lit("fail")), worst + 1)).alias("verdict"))
 
 
-def application_needs(doc_needs: DataFrame, documents: DataFrame, cross_described: DataFrame) -> DataFrame:
-    """Distinct needs per application as rows with the key of their first place: documents, then cross findings."""
+def _first_places(per_document: DataFrame, listed: str, name: str, documents: DataFrame, cross: DataFrame, cross_value: str) -> DataFrame:
+    """Distinct values per application with the key of their first place: open documents first, then cross findings."""
     open_docs = finished(documents).where(F.col("verdict") != "pass").select("doc_id", "app_id")
-    a = doc_needs.join(open_docs, "doc_id").select(
-        "app_id", "doc_id", F.posexplode("needs").alias("pos", "need")).select(
-        "app_id", "need", F.struct(F.lit(0).alias("stage"), F.lit(0).cast("bigint").alias("sub"), "doc_id", "pos").alias("at"))
-    b = cross_described.where(F.col("severity").isin("high", "medium")).select(
-        "app_id", F.col("fix").alias("need"), F.struct(F.col("emit").alias("stage"), "sub", "doc_id", F.lit(0).alias("pos")).alias("at"))
-    return a.unionByName(b).groupBy("app_id", "need").agg(F.min("at").alias("at"))
+    a = per_document.join(open_docs, "doc_id").select(
+        "app_id", "doc_id", F.posexplode(listed).alias("pos", name)).select(
+        "app_id", name, F.struct(F.lit(0).alias("stage"), F.lit(0).cast("bigint").alias("sub"), "doc_id", "pos").alias("at"))
+    b = cross.where(F.col("severity").isin("high", "medium") & F.col(cross_value).isNotNull()).select(
+        "app_id", F.col(cross_value).alias(name), F.struct(F.col("emit").alias("stage"), "sub", "doc_id", F.lit(0).alias("pos")).alias("at"))
+    return a.unionByName(b).groupBy("app_id", name).agg(F.min("at").alias("at"))
+
+
+def application_needs(doc_needs: DataFrame, documents: DataFrame, cross_described: DataFrame) -> DataFrame:
+    """(app_id, need, at): what would settle an application. ``doc_needs``: doc_id, needs."""
+    return _first_places(doc_needs, "needs", "need", documents, cross_described, "fix")
+
+
+def application_requests(doc_requests: DataFrame, documents: DataFrame, cross_described: DataFrame) -> DataFrame:
+    """(app_id, request, at): what the applicant is asked to send. ``doc_requests``: doc_id, asks."""
+    return _first_places(doc_requests, "asks", "request", documents, cross_described, "applicant_request")
 
 
 def finding_top(findings: DataFrame, k: int = 5) -> DataFrame:

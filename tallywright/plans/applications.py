@@ -237,25 +237,38 @@ all_needs AS (SELECT * FROM doc_needs UNION SELECT app_id, 'X:' || code FROM cro
 """
 
 
-@query("a13_application_needs", sql("SELECT app_id, count(*) AS n_needs FROM all_needs GROUP BY app_id", NEEDS))
+@query("a13_application_needs", sql("SELECT app_id, need FROM all_needs", NEEDS))
 def application_needs(spark, d):
     docs = X.stubs(spark, d)
     f = SB.findings(spark, d).withColumn("fix", F.concat(F.lit("D:"), "code", F.lit("/"), "emit"))
     s, chain, facts = bank(spark, d)
     x = C.cross_findings(reports(spark, d), s, chain, facts).withColumn("fix", F.concat(F.lit("X:"), "code"))
-    return P.application_needs(D.needs_to_pass(f), docs, x).groupBy("app_id").agg(F.count("*").alias("n_needs"))
+    return P.application_needs(D.needs_to_pass(f), docs, x).select("app_id", "need")
+
+
+@query("a13_application_requests", sql("""
+SELECT DISTINCT app_id, 'D:' || code AS request FROM stub_findings JOIN reports USING (doc_id) WHERE eff <> 'pass' AND severity <> 'info'
+UNION SELECT app_id, 'X:' || code FROM cross_findings WHERE severity IN ('high', 'medium')""", NEEDS))
+def application_requests(spark, d):
+    docs = X.stubs(spark, d)
+    f = SB.findings(spark, d).withColumn("applicant_request", F.concat(F.lit("D:"), "code"))
+    asks = D.applicant_requests(f, docs.select("doc_id", F.lit("review").alias("verdict")))
+    s, chain, facts = bank(spark, d)
+    x = C.cross_findings(reports(spark, d), s, chain, facts).withColumn("applicant_request", F.concat(F.lit("X:"), "code"))
+    return P.application_requests(asks, docs, x).select("app_id", "request")
 
 
 # --- projections, filters and joins of the service -------------------------
 
 @query("p1_upload_validation", X.with_views("""
-SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY app_id // 2, doc_id // 97 ORDER BY doc_id) > 10 THEN 'too_many_files' WHEN size * 1000 > 15728640 THEN 'too_large' WHEN size = 0 THEN 'empty'
-            WHEN kind IS NULL THEN 'unknown_type' END AS reject_reason FROM d_files""", "d_files"))
+SELECT doc_id, reject_reason, coalesce(bool_or(reject_reason IN ('too_large', 'unknown_type')) OVER (PARTITION BY a, b), false) AS request_rejected FROM (
+SELECT doc_id, app_id // 2 AS a, doc_id // 97 AS b, CASE WHEN row_number() OVER (PARTITION BY app_id // 2, doc_id // 97 ORDER BY doc_id) > 10 THEN 'too_many_files' WHEN size * 1000 > 15728640 THEN 'too_large' WHEN size = 0 THEN 'empty'
+            WHEN kind IS NULL THEN 'unknown_type' END AS reject_reason FROM d_files) x""", "d_files"))
 def upload_validation(spark, d):
     f = X.view(spark, d, "d_files")
     up = f.select("doc_id", F.concat_ws("-", F.floor(F.col("app_id") / 2), F.floor(F.col("doc_id") / 97)).alias("request_id"),
                   F.col("doc_id").alias("seq"), "filename", (F.col("size") * 1000).alias("size"), "kind")
-    return P.validate_uploads(up).select("doc_id", "reject_reason")
+    return P.validate_uploads(up).select("doc_id", "reject_reason", "request_rejected")
 
 
 @query("p2_public_cap", sql("SELECT a.app_id, count(doc_id) AS n_docs FROM d_apps a LEFT JOIN d_wide USING (app_id) GROUP BY a.app_id HAVING count(doc_id) < 30"))
@@ -363,3 +376,12 @@ def described(spark, d):
     s, chain, facts = bank(spark, d)
     f = describe(C.cross_findings(reports(spark, d), s, chain, facts))
     return f.groupBy("code").agg(F.count("*").alias("n"), F.bool_and(F.col("title").isNotNull() & F.col("why").isNotNull() & F.col("fix").isNotNull() & F.col("what").isNotNull()).alias("complete"))
+
+
+@query("j13_statement_checks", X.with_views("""
+WITH b AS (SELECT s.*, (SELECT count(*) FROM d_txn_pairs t WHERE t.doc_id = s.doc_id) AS n FROM d_statements s)
+SELECT doc_id, coalesce(begin_c, 0) <> 0 AND n > 0 AS can_running,
+       coalesce(begin_c, 0) <> 0 AND coalesce(end_c, 0) <> 0 AND coalesce(deposits_c, 0) <> 0 AND coalesce(withdrawals_c, 0) <> 0 AS can_summary, applicant <> '' AS can_name FROM b""", "d_txn_pairs", "d_statements"))
+def statement_checks(spark, d):
+    s, _, facts = bank(spark, d)
+    return D.statement_applicability(s, facts)

@@ -11,6 +11,7 @@ from tallywright.operators import decide as D
 from tallywright.operators import fields as E
 from tallywright.operators import rows as R
 from tallywright.operators import stub_rules as S
+from tallywright.operators import file_rules as FR
 from tallywright.plans import fixtures as X
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
@@ -87,6 +88,12 @@ def unknown_type(spark, d):
                                                   E.keyword_score(t, K.BANK_WORDS).alias("bank_words"))
 
 
+@query("r37_type_finding", "SELECT doc_id, 'C_TYPE' AS code, 'high' AS severity FROM (" + _PROSE.format(s=" + ".join(f"contains(lower(text), '{w}')::bigint" for w in K.STUB_WORDS), b=" + ".join(f"contains(lower(text), '{w}')::bigint" for w in K.BANK_WORDS)) + ") t WHERE doc_type = 'unknown'")
+def type_finding(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", E.classify_text(F.col("text")).alias("doc_type"))
+    return FR.type_findings(docs).select("doc_id", "code", "severity")
+
+
 # The amount pattern without look-around, so DuckDB can run it: the characters on both sides are captured.
 @query("t4_money", sql("""
 SELECT doc_id, sum(cast(replace(m, ',', '') AS decimal(18,2)))::double AS total, count(*) AS n

@@ -160,24 +160,27 @@ def font_rule(spark, d):
 
 
 _EDGE = """
-e AS (SELECT doc_id, span_no, amount_c, 200 + CASE WHEN span_no % 6 = 0 THEN 3.5 ELSE 0 END::double AS x1 FROM d_spans WHERE NOT ocr),
-en AS (SELECT doc_id, round_even(x1, 0) AS edge, count(*) AS n, min(span_no) AS seen FROM e GROUP BY 1, 2),
+e AS (SELECT doc_id, span_no, span_no % 2 AS knd, amount_c, 200 + CASE WHEN span_no % 6 = 0 THEN 3.5 ELSE 0 END::double AS x1 FROM d_spans WHERE NOT ocr),
+en AS (SELECT doc_id, round_even(x1, 0) AS edge, count(*) AS n, min((knd, span_no)) AS seen FROM e GROUP BY 1, 2),
 ed AS (SELECT doc_id, arg_min(edge, (-n, seen)) AS edge, max(n) AS k, sum(n) AS total FROM en GROUP BY 1)
 """
 
 
-@query("r11_align", X.with_views("WITH " + _EDGE + "SELECT doc_id, count(*) AS n FROM e JOIN ed USING (doc_id) WHERE total >= 4 AND k >= total - 2 AND abs(x1 - edge) > 0.9 AND abs(x1 - edge) < 14 GROUP BY doc_id HAVING count(*) <= 2", "d_spans"))
+@query("r11_align", X.with_views("WITH " + _EDGE + "SELECT doc_id, count(*) AS n, arg_min(amount_c, (knd, span_no))::double / 100 AS first_amount FROM e JOIN ed USING (doc_id) WHERE total >= 4 AND k >= total - 2 AND abs(x1 - edge) > 0.9 AND abs(x1 - edge) < 14 GROUP BY doc_id HAVING count(*) <= 2", "d_spans"))
 def align_rule(spark, d):
     s = spans(spark, d)
     lines = s.select("doc_id", F.col("span_no").alias("line_no"), X.money("amount_c").alias("current"),
+                     F.when(F.col("span_no") % 2 == 0, "earning").otherwise("deduction").alias("kind"),
                      (F.lit(200.0) + F.when(F.col("span_no") % 6 == 0, 3.5).otherwise(0.0)).alias("x1"))
-    return R.alignment_findings(lines, s.where("ocr").select("doc_id").distinct()).select("doc_id", "n")
+    f = R.alignment_findings(lines, s.where("ocr").select("doc_id").distinct())
+    said = F.regexp_replace(F.regexp_extract("what", r"; \$?([0-9,]+\.[0-9]{2})", 1), ",", "").cast("double")
+    return f.select("doc_id", "n", said.alias("first_amount"))
 
 
-@query("r12_size", X.with_views("SELECT doc_id, arg_min(text, span_no) AS label FROM d_spans WHERE NOT ocr AND span_no % 50 = 0 GROUP BY doc_id", "d_spans"))
+@query("r12_size", X.with_views("SELECT doc_id, arg_min(text, (span_no % 5, span_no)) AS label FROM d_spans WHERE NOT ocr AND span_no % 50 = 0 GROUP BY doc_id", "d_spans"))
 def size_rule(spark, d):
     s = spans(spark, d)
-    lines = s.select("doc_id", F.col("span_no").alias("line_no"), F.col("text").alias("label"), X.money("amount_c").alias("current"), X.money("amount_c").alias("ytd"),
+    lines = s.select("doc_id", F.col("span_no").alias("line_no"), F.element_at(F.array(*[F.lit(k) for k in K.LINE_KINDS]), (F.col("span_no") % 5 + 1).cast("int")).alias("kind"), F.col("text").alias("label"), X.money("amount_c").alias("current"), X.money("amount_c").alias("ytd"),
                      F.lit(9.0).alias("size"), F.when(F.col("span_no") % 50 == 0, 9.5).otherwise(9.2).alias("ytd_size"))
     f = R.size_findings(lines, s.where("ocr").select("doc_id").distinct())
     return f.select("doc_id", F.regexp_extract("what", '"(.*)"', 1).alias("label"))
@@ -262,7 +265,7 @@ def unreadable(spark, d):
 
 @query("r16_robust_blocks", """
 WITH b AS (SELECT l_suppkey AS page_id, l_partkey % 60 AS bx, l_orderkey % 60 AS "by", max(l_quantity + CASE WHEN l_partkey % 60 = 7 AND l_suppkey % 3 = 0 THEN 400 ELSE 0 END) AS score, max(l_tax) AS es FROM lineitem GROUP BY 1, 2, 3),
-ok AS (SELECT * FROM b WHERE es > 0.04), md AS (SELECT page_id, median(score) AS med, count(*) AS n_ok FROM ok GROUP BY 1 HAVING count(*) >= 20),
+ok AS (SELECT * FROM b WHERE es > 0.04 AND page_id IN (SELECT page_id FROM b GROUP BY 1 HAVING max(bx) >= 5 AND max("by") >= 5)), md AS (SELECT page_id, median(score) AS med, count(*) AS n_ok FROM ok GROUP BY 1 HAVING count(*) >= 20),
 dv AS (SELECT ok.*, med, n_ok FROM ok JOIN md USING (page_id)), mad AS (SELECT page_id, median(abs(score - med)) * 1.4826::double + 0.5::double AS mad FROM dv GROUP BY 1),
 z AS (SELECT *, (score - med) / mad AS zz FROM dv JOIN mad USING (page_id) WHERE (score - med) / mad > 7)
 SELECT page_id, count(*) AS blocks, round(max(zz), 6) AS z, min(bx) * 24 AS x0, (max("by") + 1) * 24 AS y1 FROM z GROUP BY page_id, n_ok HAVING count(*) >= 2 AND count(*) <= 0.12 * n_ok""")

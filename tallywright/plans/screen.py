@@ -39,20 +39,21 @@ def screen_portfolio(spark: SparkSession, x: Inputs, out: str, today: str) -> di
     facts = stage("bank_facts", bank_rules.statement_facts(chain))
     found = stub_rules.all_stub_findings(x.stubs, x.stub_lines, today).unionByName(bank_rules.bank_findings(x.statements, x.bank_txns, facts))
     if x.file_findings is not None:
-        found = found.unionByName(x.file_findings)
+        found = decide.gated(found.unionByName(x.file_findings))
     findings = stage("findings", found)
     scores = stage("scores", decide.score_documents(x.documents, findings))
 
     documents = x.documents.drop("verdict").join(scores.select("doc_id", "verdict", "risk"), "doc_id")
     finished = portfolio.finished(documents)
     fields = x.stubs.select("doc_id", "employer", "pay_date", "net", "gross", "gross_ytd", "frequency").withColumn("doc_type", F.lit("paystub"))
-    reports = stage("reports", finished.join(fields, "doc_id", "left").withColumn(
-        "doc_type", F.coalesce("doc_type", F.lit("bank_statement"))))
+    typed = fields.unionByName(x.statements.select("doc_id", F.lit("bank_statement").alias("doc_type")), allowMissingColumns=True)
+    reports = stage("reports", finished.join(typed, "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown"))))
     banks = x.statements.drop("verdict").join(reports.select("doc_id", "verdict"), "doc_id")
     between = stage("cross_findings", cross.cross_findings(reports, banks, chain, facts))
 
     stage("income", income.income(reports, x.applications, x.orgs))
     stage("applications", portfolio.rollup(documents, between))
-    needs = decide.needs_to_pass(describe(findings))
-    stage("needs", portfolio.application_needs(needs, documents, describe(between)))
+    described, described_between = describe(findings), describe(between)
+    stage("needs", portfolio.application_needs(decide.needs_to_pass(described), documents, described_between))
+    stage("requests", portfolio.application_requests(decide.applicant_requests(described, scores), documents, described_between))
     return done

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -28,7 +25,7 @@ def build_session(app_name: str = "tallywright", master: str | None = None, **se
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is named (tests)."""
+    """The cluster's shared checkpoint folder, or one beside the warehouse (shared as well) where none is named."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -37,7 +34,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywright-ckpt-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared")
     return context.getCheckpointDir()

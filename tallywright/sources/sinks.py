@@ -17,13 +17,14 @@ def build_reports(documents: DataFrame, scores: DataFrame, findings: DataFrame,
     return d.withColumn("findings", F.coalesce("findings", F.lit(0))).withColumn("analyzed_on", F.lit(today))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("append").partitionBy("analyzed_on").parquet(path)
+def write_reports(reports: DataFrame, path: str, run: str = "batch") -> None:
+    """Add a run's reports. Run once more, it replaces what it wrote for that day before."""
+    reports.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analyzed_on", "run").parquet(path)
 
 
 def report_view(reports: DataFrame) -> DataFrame:
     """A stored report without its feature vector."""
-    return reports.drop("features")
+    return reports.drop("features", "run")
 
 
 def split_failed(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -31,8 +32,8 @@ def split_failed(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataF
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
     marked = rows.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("no value: "), F.array_join(missing, ", "))))
     failed = marked.where(F.col("error").isNotNull()).select(
-        "doc_id", F.lit("error").alias("status"), F.lit("unreadable").alias("verdict"), F.lit(0).alias("risk"), F.lit("Analysis failed").alias("headline"),
-        "error", F.lit("Run the analysis again; if it fails again the file is malformed.").alias("needs"))
+        "doc_id", F.lit("error").alias("status"), F.lit("unreadable").alias("verdict"), F.lit(0).alias("risk"), F.lit("Could not be processed").alias("headline"),
+        "error", F.lit("A second run; a document that fails twice needs to be looked at.").alias("needs"))
     return marked.where(F.col("error").isNull()).drop("error"), failed
 
 

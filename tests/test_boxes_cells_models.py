@@ -119,3 +119,32 @@ def test_model_learns_and_drivers_point_at_the_signal(spark, tmp_path):
     assert sinks.load_newest_model(spark, str(tmp_path / "none")) is None
     c = L.fit_cell_model(d.select("a", "b", "label"), ["a", "b"], trees=3)
     assert L.score_rows(c, d).count() == 200
+
+
+def test_sparse_numbers_fill_chunks(spark):
+    """Hash-like numbers of one large key and of many small ones: few chunks, same neighbours."""
+    rnd = random.Random(6)
+    rows = [("big", rnd.randrange(1 << 62)) for _ in range(1000)] + [(f"k{i % 50}", rnd.randrange(1 << 62)) for i in range(200)]
+    d = spark.createDataFrame(rows, "k string, n long")
+    chunks = {(r.k, r._chunk) for r in O._with_chunk(d, ["k"], "n", 100).collect()}
+    assert len({c for k, c in chunks if k == "big"}) <= 11 and {c for k, c in chunks if k != "big"} == {0}
+    got = {(r.k, r.n): r.prev.n if r.prev else None for r in O.with_previous(d, ["k"], "n", ["n"], chunk=100).collect()}
+    for key in {k for k, _ in rows}:
+        numbers = sorted(n for k, n in rows if k == key)
+        assert [got[key, n] for n in numbers] == [None, *numbers[:-1]]
+
+
+def test_broken_boxes_do_not_explode(spark):
+    """A box that reaches far off its page is laid over the squares of the page only."""
+    spans = spark.createDataFrame([(1, 1, 1, "a", 0.0, 0.0, 1e9, 10.0), (1, 1, 2, "b", 300.0, 0.0, 310.0, 10.0), (1, 1, 3, "c", 600.0, 0.0, 610.0, 10.0)],
+                                  "doc_id long, page int, span_no long, text string, x0 double, y0 double, x1 double, y1 double")
+    got = R.overlapping_texts(spans)
+    assert {(r.a_text, r.c_text) for r in got.collect()} == {("a", "b"), ("a", "c")}
+    patches = spans.where("text = 'a'").withColumnRenamed("span_no", "patch_no")
+    assert R.covering_patches(patches, spans.where("text <> 'a'")).count() == 1
+
+
+def test_pages_too_small_for_the_cell_rules(spark):
+    blocks = spark.createDataFrame([(p, x, y, 1.0 + 500 * (x < 2 and y == 0), 0.5) for p, n in ((1, 6), (2, 5)) for x in range(n) for y in range(n)],
+                                   "page_id long, bx int, by int, score double, edge_share double")
+    assert [r.page_id for r in R.robust_hot_spots(blocks).collect()] == [1]
