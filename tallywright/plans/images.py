@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallywright import constants as K
@@ -11,6 +13,7 @@ from tallywright.operators import learn as L
 from tallywright.plans import fixtures as X
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
+from tallywright.session import ensure_checkpoint_dir
 
 T_PAGE, T_CELL = 0.7, 0.5
 
@@ -229,14 +232,14 @@ def features(spark, d):
     return f.join(docs.select("doc_id", "decision"), "doc_id").join(made, "doc_id")
 
 
-TREES = 20  # of the library's 160: enough for the properties below, and a fit runs one job a level and tree
-
-
 def trained(spark, d):
-    f = features(spark, d)
+    """A fitted model and the feature rows, which are a stage table: a fit and its scores read them many times."""
+    path = f"{ensure_checkpoint_dir(spark)}/features-{uuid.uuid4().hex}"
+    features(spark, d).write.parquet(path)
+    f = spark.read.parquet(path)
     base = f.withColumn("label", F.col("faulty").cast("int")).drop("decision", "faulty")
     labelled = f.where(F.col("decision").isNotNull()).withColumn("label", (F.col("decision") == "fraudulent").cast("int")).drop("decision", "faulty")
-    return L.fit_score_model(L.training_rows(base, labelled), trees=TREES), f
+    return L.fit_score_model(L.training_rows(base, labelled)), f
 
 
 @query("u2_training_union", SB.sql("SELECT weight, count(*) AS n FROM (SELECT 1.0::double AS weight FROM d_wide UNION ALL SELECT 8.0::double FROM d_wide WHERE decision IS NOT NULL) GROUP BY weight"))
