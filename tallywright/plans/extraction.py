@@ -228,12 +228,18 @@ def json_access(spark, d):
     return X.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("screen_printed_stubs", sql("SELECT doc_id, code, severity FROM stub_findings WHERE code IN ('C_NET_MATH', 'C_DED_SUM', 'C_FICA_SS', 'C_FICA_MED', 'C_DATES', 'C_STALE', 'C_FUTURE', 'C_NAME', 'C_ROUND')", SB.RULES))
+# What print cannot show: an employer that is absent from the fields is found in the letterhead, and a line of three amounts that
+# does not multiply out is read as current and year to date (with the columns swapped, hours then stand as its year to date). What it adds: a frequency that is not given follows from the length of the period, so a year to date
+# of seventy paychecks is too much there as well.
+@query("screen_printed_stubs", sql("""
+SELECT doc_id, code, severity FROM stub_findings
+WHERE code <> 'C_RATE_HOURS' AND (code <> 'C_MISSING' OR doc_id IN (SELECT doc_id FROM d_wide WHERE gross_c IS NULL OR net_c IS NULL OR employee IS NULL))
+UNION ALL SELECT doc_id, 'C_YTD_LT', CASE WHEN ocr_used THEN 'medium' ELSE 'critical' END FROM d_wide
+WHERE k % 7 = 0 AND abs(rate_c * hours_c / 100 - ot_c) > 5 AND hours_c + 2 < ot_c AND doc_id NOT IN (SELECT doc_id FROM stub_findings WHERE code = 'C_YTD_LT')
+UNION ALL SELECT doc_id, 'C_YTD_PACE', 'medium' FROM d_wide WHERE frequency IS NULL AND gross_ytd_c >= 70 * gross_c AND period_end > period_start""", SB.RULES))
 def screen_printed(spark, d):
-    """From printed text to findings: rows, fields, then the stub rules."""
+    """From printed text to findings, every rule: rows, fields, then the stub rules."""
     sp = R.clean_spans(X.stub_spans(spark, d))
     st, lines = E.extract_stubs(R.build_rows(sp), sp, X.stub_pages(spark, d))
     facts = X.stubs(spark, d).select("doc_id", "applicant", "ocr_used", "created")
-    f = S.all_stub_findings(st.join(facts, "doc_id"), lines, X.TODAY)
-    keep = ["C_NET_MATH", "C_DED_SUM", "C_FICA_SS", "C_FICA_MED", "C_DATES", "C_STALE", "C_FUTURE", "C_NAME", "C_ROUND"]
-    return f.where(F.col("code").isin(keep)).select("doc_id", "code", "severity")
+    return S.all_stub_findings(st.join(facts, "doc_id"), lines, X.TODAY).select("doc_id", "code", "severity")
