@@ -178,10 +178,12 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """The rows of `docs` without their text, with n_tokens, ids and ends (of the pieces, in original bytes)."""
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
+    """The rows of `docs` without their text, with n_tokens, ids and ends (of the pieces, in original bytes); with `decoded` also
+    decoded_sha256, the digest of the text that the ids lead back to."""
     path, seen = path or model_path(), fresh(docs, "seen")[0]
-    carried = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "ends")]
+    own = ["n_tokens", "ids", "ends", *["decoded_sha256"] * decoded]
+    carried = [c for c in docs.columns if c not in (text, *own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
@@ -192,11 +194,12 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
                 offsets = pa.array(np.cumsum([0, *(len(ids) for ids, _ in rows)]), pa.int32())
                 flat = lambda k: pa.array(np.concatenate([np.asarray(r[k], np.int64) for r in rows] or [np.zeros(0, np.int64)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], pa.array([len(ids) for ids, _ in rows], pa.int64()), pa.ListArray.from_arrays(offsets, flat(0)), pa.ListArray.from_arrays(offsets, flat(1))],
-                    [*b.schema.names[:-1], "n_tokens", "ids", "ends"])
+                    [*b.columns[:-1], pa.array([len(ids) for ids, _ in rows], pa.int64()), pa.ListArray.from_arrays(offsets, flat(0)), pa.ListArray.from_arrays(offsets, flat(1)),
+                     *([pa.array([hashlib.sha256(model.decode(ids).encode("utf-8", "replace")).hexdigest() for ids, _ in rows], pa.string())] if decoded else [])],
+                    [*b.schema.names[:-1], *own])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias(seen))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]] + ["n_tokens long, ids array<int>, ends array<int>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]] + ["n_tokens long, ids array<int>, ends array<int>" + ", decoded_sha256 string" * decoded])
     return by_arrow(frame, run, schema)
 
 
