@@ -1,7 +1,8 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut into sentences; every run of RUN consecutive sentences with at least LEAST_WORDS words (a text with fewer sentences is
-one run) is hashed to 128 bits, without regard to ASCII case and white space. Runs are joined globally by their hash. The first of
+A text is cut into sentences. From every sentence on, two runs are hashed to 128 bits, without regard to ASCII case and white space: the
+shortest one with at least LEAST_WORDS words, which may be a single long sentence or many short lines, and the shortest one that also has
+RUN sentences or more, where it is another. Runs are joined globally by their hash. The first of
 equal runs is the one of the smallest document, and in a document the earliest; every sentence covered by a run that is not the first
 of its kind is removed.
 
@@ -29,6 +30,7 @@ from tallywright.llm.common import by_arrow, documents, fresh, id_key, stored, t
 RUN = 2
 LEAST_WORDS = 12
 LARGEST = (1 << 63) - 1
+PLACE = 16
 #: Between sentences: white space after a closing mark, or a line break.
 GAP = re.compile(r"(?<=[.!?…])[ \t\v\f\r]+|[ \t\v\f\r]*\n\s*")
 
@@ -45,13 +47,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str, spans: list[tuple[int, int]], run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
-    """(number of the first sentence, hash) of every run that is long enough."""
+    """(place, hash) of every run; a place is sixteen times the number of the first sentence, plus the number of sentences less one."""
     words = [text[a:b].encode("utf-8", "replace").lower().split() for a, b in spans]
     out = []
-    for i in range(max(1, len(spans) - run + 1) if spans else 0):
-        joined = [w for part in words[i:i + run] for w in part]
-        if len(joined) >= least_words:
-            out.append((i, xxhash.xxh3_128_digest(b" ".join(joined))))
+    for i in range(len(spans)):
+        joined: list[bytes] = []
+        for n, part in enumerate(words[i:i + max(run, least_words)], 1):  # every sentence has a word at least
+            joined = joined + part
+            if len(joined) >= least_words:
+                out.append((i * PLACE + n - 1, xxhash.xxh3_128_digest(b" ".join(joined))))
+                if n >= run:
+                    break
     return out
 
 
@@ -65,11 +71,12 @@ def cut(text: str, places: list[int], run: int = RUN, least_words: int = LEAST_W
     """The text without the sentences covered by runs at `places` or by repeats inside the text; sentences; removed spans, joined up."""
     spans = sentences(text)
     found = runs(text, spans, run, least_words)
-    gone = np.zeros(len(spans) + run, bool)
-    for i in [*places, *first_places(found)[1]]:
-        gone[i:i + run] = True
+    gone = np.zeros(len(spans), bool)
+    for place in [*places, *first_places(found)[1]]:
+        i, more = divmod(place, PLACE)
+        gone[i:i + more + 1] = True
     removed: list[tuple[int, int]] = []
-    for i in np.flatnonzero(gone[:len(spans)]).tolist():
+    for i in np.flatnonzero(gone).tolist():
         to = spans[i + 1][0] if i + 1 < len(spans) else len(text)
         if removed and removed[-1][1] == spans[i][0]:
             removed[-1] = (removed[-1][0], to)
