@@ -241,3 +241,14 @@ FROM w2 WHERE abs(gross_c - used_c - net_c) > 2 AND NOT ocr_used"""))
 def stub_text(spark, d):
     f = S.stub_findings(facts(spark, d).where(~F.col("ocr_used")), X.TODAY)
     return f.where(F.col("code") == "C_NET_MATH").select("doc_id", "what")
+
+
+@query("f14_ocr_stub_finding_text", sql("""
+SELECT doc_id, 'Gross ' || format('${:,.2f}', gross_c/100.0) || ' less ' || format('${:,.2f}', used_c/100.0) || ' is ' || format('${:,.2f}', (gross_c-used_c)/100.0)
+  || ', net is printed as ' || format('${:,.2f}', net_c/100.0) || ' (' || format('${:,.2f}', abs(gross_c-used_c-net_c)/100.0) || ' off).'
+  || CASE WHEN ocr_used THEN ' Read by OCR, so a misread digit is possible; compare the marked figures.' ELSE '' END AS what
+FROM w2 WHERE abs(gross_c - used_c - net_c) > 2"""))
+def any_stub_text(spark, d):
+    """The wording of `f14_stub_finding_text` for every stub, those read by OCR with their note."""
+    f = S.stub_findings(facts(spark, d), X.TODAY)
+    return f.where(F.col("code") == "C_NET_MATH").select("doc_id", "what")
