@@ -217,8 +217,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
             lines = [describe("\n".join((t or "").split("\n", SAMPLE_LINES)[:SAMPLE_LINES]))[1].tolist() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int32()))], ["doc_id", "quality", "bits"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    rows = by_arrow(chosen, run, "doc_id long, quality int, bits array<int>").collect()  # at most SAMPLE_DOCUMENTS identifiers, SAMPLE_LINES numbers each
+    # an identifier may have any number of rows: cut again, by rows, in the same order
+    chosen = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCUMENTS)
+              .select("doc_id", "quality", "text"))
+    rows = by_arrow(chosen, run, "doc_id long, quality int, bits array<int>").collect()  # at most SAMPLE_DOCUMENTS rows, SAMPLE_LINES numbers each
     return fit([(np.array(r.bits, np.int64), r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.bits))])
 
 
