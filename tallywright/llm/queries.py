@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import chat, exact_dedup, language_id, line_crf, mixing, pieces, sentence_spans, simhash, token_coder, weak_labels
+from tallywright.llm import chat, exact_dedup, language_id, line_crf, mixing, pieces, prefix_trie, repair, sentence_spans, simhash, token_coder, warc, weak_labels
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
@@ -15,9 +15,14 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_mixing": mixing.op8_mixing,
+    "op11_warc": warc.op11_warc,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_repair": repair.op13_repair,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_warc": warc.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
