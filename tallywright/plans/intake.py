@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallywright.operators.decide import score_documents
+from tallywright.plans import applications as AP
 from tallywright.plans import fixtures as X
+from tallywright.plans import statements as BK
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
 from tallywright.session import ensure_checkpoint_dir
@@ -145,33 +149,85 @@ def prefix_rows(spark, d):
 
 # --- the stream ------------------------------------------------------------
 
-def run_stream(spark, d, files_per_batch: int = 1):
-    tables = ST.Tables(scratch(spark, "screening"))
-    schema = X.table(spark, d, "orders").schema
-    queue = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").option("maxFilesPerTrigger", files_per_batch)
-             .parquet(d).select(F.col("o_orderkey").alias("doc_id")))
-    stubs = X.stubs(spark, d).withColumn("decision", F.lit(None).cast("string")).withColumn("sha256", F.sha2(F.col("doc_id").cast("string"), 256))
-    q = ST.start_screening(queue, tables, stubs, X.stub_lines(spark, d), X.TODAY, scratch(spark, "offsets"))
-    q.awaitTermination()
-    return tables
+# What the batch job makes of the same documents: own verdicts for stubs and statements, and everything between them on top of these.
+_own = lambda sql, prefix: re.sub(r"\b(scored|scores|verdicts)\b", prefix + r"_\1", sql)
+STREAMED = ",".join([
+    SB.RULES, _own(BK.VERDICT.format(docs="d_wide", findings="stub_findings"), "stub"), BK.FINDINGS, _own(BK.VERDICT.format(docs="d_statements", findings="bank_findings"), "bank"), """
+e_wide AS (SELECT w.* REPLACE (v.verdict AS verdict, NULL::varchar AS decision, 'done' AS status) FROM d_wide w JOIN stub_verdicts v USING (doc_id)),
+e_statements AS (SELECT s.* REPLACE (v.verdict AS verdict) FROM d_statements s JOIN bank_verdicts v USING (doc_id))""",
+    AP.CROSS.removeprefix(BK.FACTS + ",").replace("FROM d_wide", "FROM e_wide").replace("FROM d_statements s JOIN facts", "FROM e_statements s JOIN facts"), """
+copies AS (SELECT app_id, doc_id, lag(doc_id) OVER (PARTITION BY app_id, k % 16 ORDER BY doc_id) AS before FROM e_wide),
+between_f AS (SELECT app_id, doc_id, code, severity FROM cross_findings UNION ALL SELECT app_id, doc_id, 'X_DUP', 'low' FROM copies WHERE before IS NOT NULL),
+e_docs AS (SELECT app_id, doc_id, verdict FROM e_wide UNION ALL SELECT app_id, doc_id, verdict FROM e_statements),
+xs AS (SELECT app_id, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l FROM between_f GROUP BY app_id),
+xr AS (SELECT app_id, CASE WHEN h >= 2 OR 1 - pow(1-0.55::double, h) * pow(0.75::double, m) * pow(1-0.07::double, l) >= 0.85 THEN 2 WHEN h > 0 OR m >= 2 THEN 1 ELSE 0 END AS r FROM xs),
+dr AS (SELECT app_id, max(CASE verdict WHEN 'fail' THEN 2 WHEN 'pass' THEN 0 ELSE 1 END) AS r, count(*) AS n_docs FROM e_docs GROUP BY app_id)"""])
+
+
+def streamed(body: str) -> str:
+    return X.with_views("WITH " + STREAMED + "\n" + body, "o_txns", "o_lines", "d_statements", "d_apps", "d_orgs", "d_wide")
+
+
+def arrivals(spark, d) -> ST.Arrivals:
+    """All documents, arriving in four parts: the stubs, statements and copies of one application come in different ones."""
+    path = scratch(spark, "arrivals")
+    sha = F.when(F.col("doc_id") < X.BANK_BASE, F.concat("app_id", F.lit("-"), F.col("doc_id") % 16)).otherwise(F.col("doc_id").cast("string"))
+    names = ["doc_id", "app_id", "filename"]
+    documents = X.stubs(spark, d).select(*names).unionByName(X.statements(spark, d).select(*names))
+    documents = documents.withColumn("sha256", F.sha2(sha, 256)).withColumn("decision", F.lit(None).cast("string"))
+    tables = {"documents": documents, "stubs": X.stubs(spark, d), "stub_lines": X.stub_lines(spark, d), "statements": X.statements(spark, d), "bank_txns": X.txns(spark, d)}
+    for name, rows in tables.items():
+        rows.withColumn("arrived", F.col("doc_id") % 4).repartition("arrived").write.partitionBy("arrived").parquet(f"{path}/{name}")
+    return ST.Arrivals(*[spark.read.parquet(f"{path}/{name}") for name in tables])
+
+
+def run_stream(spark, d, failing: str | None = "stream-1"):
+    """The store after a stream of four micro-batches, one of which fails once before its commit and is repeated."""
+    store, x, offsets, files = ST.Store(scratch(spark, "screening"), 8), arrivals(spark, d), scratch(spark, "offsets"), scratch(spark, "queue")
+    queued = x.documents.select("doc_id", "arrived")
+    queued.repartition(4, "arrived").sortWithinPartitions("arrived").withColumn("part", F.col("arrived")).write.partitionBy("part").parquet(files)
+    queue = spark.readStream.schema(queued.schema).option("maxFilesPerTrigger", 1).parquet(f"{files}/*").select("doc_id", "arrived")
+    failed = []
+
+    def fail_once(key: str) -> None:
+        if key == failing and not failed:
+            failed.append(key)
+            raise RuntimeError("lost before the commit")
+
+    for _ in range(2):
+        q = ST.start_screening(queue, store, x, X.TODAY, offsets, fail_once)
+        try:
+            q.awaitTermination()
+            break
+        except StreamingQueryException:
+            if not failed:
+                raise
+    return store, x
+
+
+@query("st1_incremental_screening", streamed("SELECT doc_id, verdict FROM e_docs"))
+def incremental(spark, d):
+    store, _ = run_stream(spark, d)
+    return ST.documents_of(spark, store).select("doc_id", "verdict")
 
 
-@query("st1_incremental_screening", SB.sql("SELECT doc_id, verdict FROM verdicts", SB.VERDICTS))
-def incremental(spark, d):
-    tables = run_stream(spark, d)
-    return ST.newest(spark.read.parquet(tables.all("reports")), "doc_id").select("doc_id", "verdict")
+@query("st1_stream_findings", streamed("SELECT doc_id, code, severity, emit, 'document' AS about FROM stub_findings UNION ALL SELECT doc_id, code, severity, emit, 'document' FROM bank_findings UNION ALL SELECT doc_id, code, severity, CASE WHEN code = 'X_DUP' THEN 200 WHEN code LIKE 'X_DEPOSIT%' THEN 202 ELSE 201 END, 'application' FROM between_f"))
+def stream_findings(spark, d):
+    store, _ = run_stream(spark, d)
+    own, between = ST.findings_of(spark, store)
+    of = lambda df, about: df.select("doc_id", "code", "severity", "emit", F.lit(about).alias("about"))
+    return of(own, "document").unionByName(of(between, "application"))
 
 
-@query("st2_refreshed_applications", SB.sql("SELECT app_id, count(*) AS n_docs, false AS pending FROM d_wide GROUP BY app_id"))
+@query("st2_refreshed_applications", streamed("SELECT app_id, n_docs, false AS pending, n_docs AS n_done, list_extract(['pass', 'review', 'fail'], cast(greatest(dr.r, coalesce(xr.r, 0)) + 1 AS int)) AS verdict FROM dr LEFT JOIN xr USING (app_id)"))
 def refreshed(spark, d):
-    tables = run_stream(spark, d)
-    return ST.newest(spark.read.parquet(tables.all("applications")), "app_id").select("app_id", "n_docs", "pending")
+    store, _ = run_stream(spark, d)
+    return ST.applications_of(spark, store).select("app_id", "n_docs", "pending", "n_done", "verdict")
 
 
 @query("st3_reanalyze", SB.sql("SELECT doc_id, verdict FROM verdicts WHERE doc_id IN (SELECT doc_id FROM d_wide WHERE status = 'error')", SB.VERDICTS))
 def reanalyze(spark, d):
-    tables = ST.Tables(scratch(spark, "again"))
-    stubs = X.stubs(spark, d).withColumn("decision", F.lit(None).cast("string")).withColumn("sha256", F.sha2(F.col("doc_id").cast("string"), 256))
-    todo = stubs.where(F.col("status") == "error").select("doc_id")
-    ST.reanalyze(spark, todo, tables, 0, stubs, X.stub_lines(spark, d), X.TODAY)
-    return ST.newest(spark.read.parquet(tables.all("reports")), "doc_id").select("doc_id", "verdict")
+    store, x = ST.Store(scratch(spark, "again"), 8), arrivals(spark, d)
+    wanted = X.stubs(spark, d).where(F.col("status") == "error").select("doc_id")
+    ST.reanalyze(spark, x.documents.select("doc_id", "arrived").join(wanted, "doc_id", "left_semi"), "again-0", store, x, X.TODAY)
+    return ST.documents_of(spark, store).select("doc_id", "verdict")

@@ -1,72 +1,117 @@
-"""New uploads as a stream: screen each micro-batch, then refresh only the applications it touched."""
+"""New uploads as a stream: screen what each micro-batch brings, then refresh only the applications it touched.
+
+A document's own findings depend on its own rows. What compares documents (copies of a file, consecutive stubs, deposits on a statement)
+is worked out anew for the applications of the batch from everything stored about them, so it does not matter in which order, or in how
+many batches, stubs, statements and copies arrive. Typed rows lie in folders by arrival, and a batch reads those of its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallywright.operators.cross import duplicate_files, pair_findings, stub_pairs
-from tallywright.operators.decide import score_documents
-from tallywright.operators.portfolio import rollup
+from tallywright.operators import bank_rules, cross, decide, portfolio
+from tallywright.operators.file_rules import type_findings
 from tallywright.operators.stub_rules import all_stub_findings
+from tallywright.streaming.store import Batch, Store
 
-
-@dataclass(frozen=True)
-class Tables:
-    """Folders of one screening store. Each batch owns one sub-folder, so a repeated batch replaces itself."""
-    root: str
-
-    def batch(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/batch={batch_id}"
-
-    def all(self, name: str) -> str:
-        return f"{self.root}/{name}"
+#: How the tables of a store hang together: one newest row per key, or rows that go with the newest row of another table.
+NEWEST = {"reports": "doc_id", "applications": "app_id"}
+FOLLOW = {"findings": ("reports", "doc_id"), "bank_lines": ("reports", "doc_id"), "bank_facts": ("reports", "doc_id"), "cross_findings": ("applications", "app_id")}
+FIELDS = ("employer", "pay_date", "net", "gross", "gross_ytd", "frequency")
 
 
-def newest(df: DataFrame, key: str) -> DataFrame:
-    """The row of the latest batch per key."""
-    cols = [c for c in df.columns if c not in (key, "batch")]
-    return df.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(key, "r.*")
+@dataclass(frozen=True)
+class Arrivals:
+    """Typed tables in folders by `arrived`. documents: doc_id, app_id, filename, sha256, decision; file_findings may be missing."""
+    documents: DataFrame
+    stubs: DataFrame
+    stub_lines: DataFrame
+    statements: DataFrame
+    bank_txns: DataFrame
+    file_findings: DataFrame | None = None
+
+    def of(self, queue: DataFrame) -> Arrivals:
+        """The rows of the queued documents: only the folders of their arrivals are opened (a batch names a few)."""
+        folders = [r.arrived for r in queue.select("arrived").distinct().collect()]
+        mine = queue.select("doc_id").distinct()
+        cut = lambda df: None if df is None else df.where(F.col("arrived").isin(folders)).drop("arrived").join(mine, "doc_id", "left_semi")
+        return Arrivals(*[cut(getattr(self, f)) for f in self.__dataclass_fields__])
+
+
+def screen_documents(store: Store, batch: Batch, x: Arrivals, today: str) -> DataFrame:
+    """Findings, scores and reports of the batch's own documents, written to the store; gives the reports."""
+    owner = x.documents.select("doc_id", "app_id")
+    owned = lambda df: df.drop("app_id").join(owner, "doc_id")
+    lines = store.write(batch, "bank_lines", owned(bank_rules.balance_chain(x.bank_txns, x.statements)))
+    facts = store.write(batch, "bank_facts", owned(bank_rules.statement_facts(lines)))
+    typed = (x.stubs.select("doc_id", F.lit("paystub").alias("doc_type"), *FIELDS)
+             .unionByName(x.statements.select("doc_id", F.lit("bank_statement").alias("doc_type")), allowMissingColumns=True))
+    documents = x.documents.join(typed, "doc_id", "left").withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown")))
+    found = all_stub_findings(x.stubs, x.stub_lines, today).unionByName(bank_rules.bank_findings(x.statements, x.bank_txns, facts.drop("app_id", "bucket")))
+    found = found.unionByName(type_findings(documents.select("doc_id", "doc_type")))
+    if x.file_findings is not None:
+        found = found.unionByName(x.file_findings)
+    findings = store.write(batch, "findings", owned(decide.gated(found)))
+    scores = decide.score_documents(documents, findings)
+    return store.write(batch, "reports", documents.join(scores.select("doc_id", "verdict", "risk"), "doc_id").withColumn("status", F.lit("done")))
+
+
+def refresh_applications(spark: SparkSession, store: Store, batch: Batch, apps: DataFrame) -> None:
+    """Cross-document findings and rollup of some applications, from all that is stored about them."""
+    buckets = store.touched(apps)
+    latest = store.newest(spark, "reports", "doc_id", apps, buckets, batch)
+    reports = portfolio.finished(latest.drop("run"))
+    stored = lambda name: store.rows_of(spark, name, latest, "doc_id", buckets, batch)
+    banks = reports.where(F.col("doc_type") == "bank_statement").select("app_id", "doc_id", "filename", "verdict")
+    chain, facts = stored("bank_lines").drop("app_id"), stored("bank_facts").drop("app_id")
+    between = store.write(batch, "cross_findings", cross.cross_findings(reports, banks, chain, facts))
+    store.write(batch, "applications", portfolio.rollup(latest.drop("run"), between.drop("bucket")))
+
+
+def process_batch(spark: SparkSession, queue: DataFrame, key: str, store: Store, arrivals: Arrivals, today: str, before_commit: Callable[[str], None] | None = None) -> None:
+    """Queue rows (doc_id, arrived) to stored reports, findings and refreshed applications; nothing where the key is logged already."""
+    batch = store.open(spark, key)
+    if batch is None:
+        return
+    reports = screen_documents(store, batch, arrivals.of(queue), today)
+    refresh_applications(spark, store, batch, reports.select("app_id").distinct())
+    if before_commit is not None:
+        before_commit(key)
+    store.commit(spark, batch)
+
+
+def start_screening(queue: DataFrame, store: Store, arrivals: Arrivals, today: str, checkpoint: str, before_commit: Callable[[str], None] | None = None, **trigger) -> StreamingQuery:
+    """Run :func:`process_batch` on every micro-batch of the queue stream. A batch that Spark repeats has the same key."""
+    spark = queue.sparkSession
 
+    def run(rows: DataFrame, batch_id: int) -> None:
+        process_batch(spark, rows, f"stream-{batch_id}", store, arrivals, today, before_commit)
 
-def screen_stubs(stubs: DataFrame, lines: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    findings = all_stub_findings(stubs, lines.join(stubs.select("doc_id"), "doc_id", "left_semi"), today)
-    scores = score_documents(stubs, findings)
-    reports = stubs.drop("verdict", "status").join(scores.select("doc_id", "verdict", "risk"), "doc_id").withColumn("status", F.lit("done"))
-    return reports, findings
+    return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def refresh_applications(reports: DataFrame, touched: DataFrame) -> DataFrame:
-    """Rollup of the touched applications only, from all their stored reports."""
-    mine = reports.join(touched.select("app_id").distinct(), "app_id", "left_semi").withColumn("doc_type", F.lit("paystub"))
-    cross = pair_findings(stub_pairs(mine)).unionByName(duplicate_files(mine))
-    return rollup(mine, cross)
+def reanalyze(spark: SparkSession, queue: DataFrame, key: str, store: Store, arrivals: Arrivals, today: str) -> None:
+    """Re-run listed documents as a batch of their own; its reports replace the older ones, and their applications are refreshed."""
+    process_batch(spark, queue, key, store, arrivals, today)
 
 
-def process_batch(spark: SparkSession, queue: DataFrame, batch_id: int, tables: Tables, stubs: DataFrame, lines: DataFrame, today: str) -> None:
-    """Queue rows (doc_id) to stored reports, findings and refreshed applications."""
-    todo = stubs.join(queue.select("doc_id").distinct(), "doc_id", "left_semi")
-    reports, findings = screen_stubs(todo, lines, today)
-    findings.write.mode("overwrite").parquet(tables.batch("findings", batch_id))
-    reports.write.mode("overwrite").parquet(tables.batch("reports", batch_id))
-    stored = newest(spark.read.parquet(tables.all("reports")).where(F.col("batch") <= batch_id), "doc_id")
-    touched = spark.read.parquet(tables.batch("reports", batch_id)).select("app_id")
-    refresh_applications(stored, touched).write.mode("overwrite").parquet(tables.batch("applications", batch_id))
+def documents_of(spark: SparkSession, store: Store) -> DataFrame:
+    return store.newest(spark, "reports", "doc_id")
 
 
-def start_screening(queue: DataFrame, tables: Tables, stubs: DataFrame, lines: DataFrame, today: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run :func:`process_batch` on every micro-batch of the queue stream. The static tables are read by each batch anew."""
-    spark = queue.sparkSession
+def findings_of(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(findings of documents, findings between documents) as they stand now."""
+    return tuple(store.rows_of(spark, name, store.newest(spark, table, key), key) for name, (table, key) in (("findings", FOLLOW["findings"]), ("cross_findings", FOLLOW["cross_findings"])))
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(spark, batch, batch_id, tables, stubs, lines, today)
 
-    return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def applications_of(spark: SparkSession, store: Store) -> DataFrame:
+    return store.newest(spark, "applications", "app_id").drop("run")
 
 
-def reanalyze(spark: SparkSession, doc_ids: DataFrame, tables: Tables, batch_id: int, stubs: DataFrame, lines: DataFrame, today: str) -> None:
-    """Re-run listed documents as a batch of their own; its reports replace the older ones."""
-    process_batch(spark, doc_ids, batch_id, tables, stubs, lines, today)
+def compact(spark: SparkSession, store: Store) -> None:
+    store.compact(spark, NEWEST, FOLLOW)
