@@ -98,11 +98,13 @@ def slow_clean(rows):
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         s = [t[a:b] for a, b in sentence_spans.sentences(t or "")]
         gone = set()
-        n = sentence_spans.RUN
-        for i in range(max(1, len(s) - n + 1) if s else 0):
-            run = " ".join(" ".join(s[i:i + n]).lower().split())
-            if len(run.split()) >= sentence_spans.LEAST_WORDS and first.setdefault(run, (d, i)) != (d, i):
-                gone |= set(range(i, min(i + n, len(s))))
+        plain = [" ".join(x.lower().split()) for x in s]
+        for i in range(len(s)):
+            # the shortest run with enough words, and the shortest one that also has enough sentences
+            ends = [k for k in range(i + 1, len(s) + 1) if len(" ".join(plain[i:k]).split()) >= sentence_spans.LEAST_WORDS]
+            for end in {*ends[:1], *[k for k in ends if k - i >= sentence_spans.RUN][:1]}:
+                if first.setdefault(" ".join(plain[i:end]), (d, i)) != (d, i):
+                    gone |= set(range(i, end))
         out.append((d, [x for i, x in enumerate(s) if i not in gone], len(gone)))
     return out
 
