@@ -2,76 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright import constants as K
 from tallywright.functions import text as T
 
-BAND = 64.0  # height of the strips a page is cut into while rows are found
-SPAN = ["yc", "x0", "span_no", "y0", "x1", "y1", "h", "text", "font", "size"]
+SPAN = ["x0", "yc", "span_no", "y0", "x1", "y1", "h", "text", "font", "size"]
+STEP = 0.55  # share of a span's height by which it may lie off its row
 
 
-def clean_spans(spans: DataFrame) -> DataFrame:
-    """The positioned-text scan: first 12 pages, trimmed, blanks dropped, sizes to two places."""
-    return spans.where((F.col("page") <= K.MAX_PAGES) & (F.trim("text") != "")).withColumn("text", F.trim("text")) \
-        .withColumn("size", F.bround("size", 2))
+def clean_spans(spans: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """The positioned-text scan: trimmed, blanks dropped, sizes to two places. With a page limit, spans past it are marked `past_limit`."""
+    s = spans.where(F.trim("text") != "").withColumn("text", F.trim("text")).withColumn("size", F.bround("size", 2))
+    return s if max_pages is None else s.withColumn("past_limit", F.col("page") > max_pages)
 
 
 def build_rows(spans: DataFrame) -> DataFrame:
     """Rows of spans sharing a baseline.
 
-    A row starts where a span lies more than 0.55 of its height from the row's first span. A gap of that
-    size to the span just before is a certain start, so pages are first cut at certain starts (with strips
-    of bounded height, one carry row per strip) and only the short runs between are folded with the
-    exact, anchored rule. Output order within a page is the struct ``at``.
+    Spans of a page are taken by their middle's height, then from the left. A row starts where a span lies more than 0.55 of its height
+    from the row's first span, so where a row ends depends on all before it: pages are sorted inside one partition and read as a
+    stream, which holds no more than the row it is in and one Arrow batch. A gap of that size to the span just before is a certain start;
+    only between those, and only where a span is too far from the first one, is the page walked span by span. Output order within a
+    page is the struct ``at``; ``spans`` of a row go from left to right.
     """
     s = spans.withColumn("yc", (F.col("y0") + F.col("y1")) / 2).withColumn("h", F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0)))
-    s = s.withColumn("_band", F.floor(F.col("yc") / BAND)).withColumn("_key", F.struct("yc", "x0", "span_no"))
-    page, band = ["doc_id", "page"], ["doc_id", "page", "_band"]
-    in_band = Window.partitionBy(*band).orderBy("_key")
-
-    # Certain starts inside a strip, and the last one up to each span.
-    def marked(x):
-        gap = F.col("yc") - F.lag("yc").over(in_band)
-        x = x.withColumn("_inner", F.when(gap > 0.55 * F.col("h"), F.col("_key")))
-        return x.withColumn("_run", F.max("_inner").over(in_band.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    # One row per strip decides whether its first span starts a row and which start is open on entry.
-    slim = marked(s.select(*band, "_key", "yc", "h"))
-    over_bands = Window.partitionBy(*page).orderBy("_band")
-    strips = slim.groupBy(*band).agg(
-        F.min_by(F.struct("yc", "h", "_key"), "_key").alias("f"), F.max("yc").alias("low"), F.max("_inner").alias("last"))
-    above = F.lag("low").over(over_bands)
-    strips = strips.withColumn("_first", F.when(above.isNull() | (F.col("f.yc") - above > 0.55 * F.col("f.h")), F.col("f._key")))
-    opened = F.max(F.coalesce("last", "_first")).over(over_bands.rowsBetween(Window.unboundedPreceding, -1))
-    strips = strips.select(*band, F.coalesce("_first", opened).alias("_entry"))
-    s = marked(s).join(strips, band).withColumn("_run", F.coalesce("_run", "_entry"))
-
-    runs = s.groupBy(*page, "_run").agg(F.array_sort(F.collect_list(F.struct(*SPAN))).alias("r"))
-    elem = runs.schema["r"].dataType.elementType.simpleString()
-    none = F.expr(f"cast(array() AS array<{elem}>)")
-    zero = F.struct(F.expr(f"cast(array() AS array<array<{elem}>>)").alias("done"), none.alias("cur"), F.lit(0.0).alias("anchor"))
-
-    def step(acc, x):
-        cut = (F.size(acc["cur"]) > 0) & (F.abs(x["yc"] - acc["anchor"]) > 0.55 * x["h"])
-        fresh = cut | (F.size(acc["cur"]) == 0)
-        return F.struct(
-            F.when(cut, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-            F.when(fresh, F.array(x)).otherwise(F.concat(acc["cur"], F.array(x))).alias("cur"),
-            F.when(fresh, x["yc"]).otherwise(acc["anchor"]).alias("anchor"))
-
-    folded = F.aggregate("r", zero, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
-    head = F.element_at("r", 1)
-    one_row = F.forall("r", lambda x: F.abs(x["yc"] - head["yc"]) <= 0.55 * x["h"])  # nearly always
-    rows = runs.select(*page, F.explode_outer(F.when(one_row, F.array("r")).otherwise(folded)).alias("raw"))
-    first = F.element_at("raw", 1)
-    by_x = F.array_sort(F.transform("raw", lambda x: F.struct(x["x0"].alias("x0"), *[x[c].alias(c) for c in SPAN if c != "x0"])))
-    rows = rows.select(*page, F.struct(first["yc"].alias("y"), first["x0"].alias("x"), first["span_no"].alias("n")).alias("at"), by_x.alias("spans"))
-    pick = lambda f: F.transform("spans", lambda x: x[f])
-    return rows.select(
-        *page, "at", F.array_join(pick("text"), " ").alias("text"), F.element_at("spans", 1)["x0"].alias("x0"),
-        F.array_min(pick("y0")).alias("y0"), F.array_max(pick("x1")).alias("x1"), F.array_max(pick("y1")).alias("y1"), "spans")
+    dealt = s.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "yc", "x0", "span_no").select("doc_id", "page", *SPAN)
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    span, names = ", ".join(f"{c}:{types[c]}" for c in SPAN), list(SPAN)
+    out = (f"doc_id {types['doc_id']}, page {types['page']}, at struct<y:double,x:double,n:{types['span_no']}>, text string, x0 double, y0 double, x1 double, y1 double, "
+           f"spans array<struct<{span}>>")
+    step = STEP
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def changes(column):
+            before, after = column.slice(0, len(column) - 1), column.slice(1)
+            other = pc.xor(pc.is_null(before), pc.is_null(after))
+            return pc.or_(other, pc.fill_null(pc.not_equal(before, after), False)).to_numpy(zero_copy_only=False)
+
+        def starts_of(t):
+            """Where rows begin; the first span of the table begins one."""
+            yc, high = t.column("yc").to_numpy(), step * t.column("h").to_numpy()
+            start = np.ones(len(yc), bool)
+            start[1:] = changes(t.column("doc_id").combine_chunks()) | changes(t.column("page").combine_chunks()) | (np.diff(yc) > high[1:])
+            at = np.flatnonzero(start)
+            off = np.abs(yc - np.repeat(yc[at], np.diff(np.r_[at, len(yc)]))) > high
+            for i in np.unique(np.searchsorted(at, np.flatnonzero(off), "right") - 1).tolist():
+                end = int(at[i + 1]) if i + 1 < len(at) else len(yc)
+                anchor = yc[at[i]]
+                for j, (y, h) in enumerate(zip(yc[at[i]:end].tolist(), high[at[i]:end].tolist(), strict=True), int(at[i])):
+                    if abs(y - anchor) > h:
+                        start[j], anchor = True, y
+            return np.flatnonzero(start)
+
+        def rows_of(t, at):
+            n = t.num_rows
+            row = np.repeat(np.arange(len(at)), np.diff(np.r_[at, n]))
+            order = np.lexsort((t.column("span_no").to_numpy(), t.column("yc").to_numpy(), t.column("x0").to_numpy(), row))
+            heads, flat = t.take(pa.array(at)).combine_chunks(), t.take(pa.array(order)).combine_chunks()
+            column = lambda table, c: table.column(c).chunk(0)
+            ends = pa.array(np.r_[at, n], pa.int32())
+            number = lambda c: column(flat, c).to_numpy(zero_copy_only=False)
+            first = pa.StructArray.from_arrays([column(heads, c) for c in ("yc", "x0", "span_no")], ["y", "x", "n"])
+            text = pc.binary_join(pa.ListArray.from_arrays(ends, pc.fill_null(column(flat, "text"), "")), " ")
+            inside = pa.StructArray.from_arrays([column(flat, c) for c in names], names)
+            return pa.RecordBatch.from_arrays(
+                [column(heads, "doc_id"), column(heads, "page"), first, text, pa.array(number("x0")[at]), pa.array(np.minimum.reduceat(number("y0"), at)),
+                 pa.array(np.maximum.reduceat(number("x1"), at)), pa.array(np.maximum.reduceat(number("y1"), at)), pa.ListArray.from_arrays(ends, inside)],
+                ["doc_id", "page", "at", "text", "x0", "y0", "x1", "y1", "spans"])
+
+        open_row = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if open_row is None else pa.concat_tables([open_row, t]).combine_chunks()
+            at = starts_of(t)
+            if at[-1]:
+                yield rows_of(t.slice(0, int(at[-1])), at[:-1])
+            open_row = t.slice(int(at[-1]))
+        if open_row is not None:
+            yield rows_of(open_row, np.array([0]))
+
+    return dealt.mapInArrow(run, out)
 
 
 def document_text(rows: DataFrame) -> DataFrame:
@@ -84,10 +102,24 @@ VAL = "struct<value:decimal(18,2),x0:double,y0:double,x1:double,y1:double,font:s
 SEG = f"struct<label:string,vals:array<{VAL}>>"
 
 
+HAS_AMOUNT = r"\.\p{Nd}{2}"
+
+
+def amounts_of(span: Column) -> Column:
+    """The amounts in a span, each with the span's box, font and size."""
+    return F.transform(T.money_strings(span["text"]), lambda m: F.struct(T.to_money(m).alias("value"), *[span[c].alias(c) for c in ("x0", "y0", "x1", "y1", "font", "size")]))
+
+
+def with_amounts(rows: DataFrame) -> DataFrame:
+    """Add ``vals``: all amounts of a row, from left to right."""
+    none = F.expr(f"cast(array() AS array<{VAL}>)")
+    return rows.withColumn("vals", F.when(F.col("text").rlike(HAS_AMOUNT), F.flatten(F.transform("spans", amounts_of))).otherwise(none))
+
+
 def with_segments(rows: DataFrame) -> DataFrame:
-    """Add ``segs``: a row split where a lettered label follows numbers; each with its label and amounts."""
+    """Add ``segs``: a row split where a lettered label follows numbers; each with its label and amounts. Null for rows without amounts."""
     facts = F.transform("spans", lambda s: F.struct(
-        s.alias("s"), T.money_strings(s["text"]).alias("ms"), s["text"].rlike("[A-Za-z]{2}").alias("letters"),
+        s.alias("s"), T.money_strings(s["text"]).alias("ms"), amounts_of(s).alias("vals"), s["text"].rlike("[A-Za-z]{2}").alias("letters"),
         T.text_before_money(s["text"]).alias("lead")))
     zero = F.struct(F.expr(f"cast(array() AS array<{SEG}>)").alias("done"), F.expr("cast(array() AS array<string>)").alias("label"),
                     F.expr(f"cast(array() AS array<{VAL}>)").alias("vals"), F.lit(False).alias("seen"))
@@ -98,10 +130,7 @@ def with_segments(rows: DataFrame) -> DataFrame:
         cut = ~number & acc["seen"] & x["letters"]
         label = F.when(cut, F.expr("cast(array() AS array<string>)")).otherwise(acc["label"])
         vals = F.when(cut, F.expr(f"cast(array() AS array<{VAL}>)")).otherwise(acc["vals"])
-        s = x["s"]
-        found = F.transform(x["ms"], lambda m: F.struct(
-            T.to_money(m).alias("value"), s["x0"].alias("x0"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"),
-            s["font"].alias("font"), s["size"].alias("size")))
+        s, found = x["s"], x["vals"]
         none_yet, money = F.size(vals) == 0, F.size(x["ms"]) > 0
         return F.struct(
             F.when(cut, F.concat(acc["done"], F.array(close(acc)))).otherwise(acc["done"]).alias("done"),
@@ -110,19 +139,21 @@ def with_segments(rows: DataFrame) -> DataFrame:
             F.concat(vals, found).alias("vals"), (number | (acc["seen"] & ~cut)).alias("seen"))
 
     segs = F.aggregate("facts", zero, step, lambda a: F.concat(a["done"], F.array(close(a))))
-    return rows.withColumn("facts", facts).withColumn("segs", segs).drop("facts")
+    some = F.col("text").rlike(HAS_AMOUNT)
+    return rows.withColumn("facts", F.when(some, facts)).withColumn("segs", segs).drop("facts")
 
 
 def with_name(rows: DataFrame, name: str, cond: Column, pattern: str) -> DataFrame:
-    """Add the value behind a label such as ``Employee:``, on rows that meet ``cond``."""
+    """Add the value behind a label such as ``Employee:`` and, as ``<name>_box``, where it stands, on rows that meet ``cond``."""
     tried = rows.withColumn("_tries", F.when(cond, name_tries(F.col("spans"), pattern)))
     good = lambda t: F.length(F.regexp_replace(t["name"], "[^A-Za-z]", "")) >= 3
     tried = tried.withColumn("_hit", F.get(F.filter("_tries", lambda t: t["abort"] | good(t)), F.lit(0)))
-    return tried.withColumn(name, F.when(~F.col("_hit.abort"), F.col("_hit.name"))).drop("_tries", "_hit")
+    found = ~F.col("_hit.abort")
+    return tried.withColumn(name, F.when(found, F.col("_hit.name"))).withColumn(f"{name}_box", F.when(found, F.col("_hit.box"))).drop("_tries", "_hit")
 
 
 def name_tries(spans: Column, pattern: str) -> Column:
-    """What follows each place of a row where the label stands: the words gathered, or abort."""
+    """What follows each place of a row where the label stands: the words gathered and the box around them, or abort."""
     anchored = "(?iU)^" + pattern
     get = lambda i: F.element_at(spans, i)
     rest = lambda i: F.regexp_replace(get(i)["text"], anchored, "")
@@ -131,11 +162,14 @@ def name_tries(spans: Column, pattern: str) -> Column:
 
     def walk(i):
         own = T.strip(rest(i), " :-")
+        none = F.lit(None).cast("double")
         zero = F.struct(F.when(own != "", F.array(own)).otherwise(F.expr("cast(array() AS array<string>)")).alias("parts"),
-                        F.lit(0).alias("stop"), get(i)["x1"].alias("x1"), (get(i)["y1"] - get(i)["y0"]).alias("h"))
+                        F.lit(0).alias("stop"), get(i)["x1"].alias("x1"), (get(i)["y1"] - get(i)["y0"]).alias("h"),
+                        F.struct(*[F.when(own != "", get(i)[c]).otherwise(none).alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("box"))
 
         def step(acc, n):
             some = F.size(acc["parts"]) > 0
+            edge = lambda c: (F.least if c[1] == "0" else F.greatest)(acc["box"][c], n[c])
             far = some & (n["x0"] - acc["x1"] > 2.2 * F.greatest(acc["h"], F.lit(4.0)))
             ends = far | n["text"].rlike(r"(?U):$|\d{2}/\d{2}")
             marker = ~some & n["text"].rlike(r"(?iU)^(id|no\.?|number|#|name)\b:?$")
@@ -146,10 +180,11 @@ def name_tries(spans: Column, pattern: str) -> Column:
                 F.when(take, F.concat(acc["parts"], F.array(T.strip(n["text"], " :")))).otherwise(acc["parts"]).alias("parts"),
                 F.when(acc["stop"] != 0, acc["stop"]).when(ends, 1).when(marker & ~n["text"].rlike("(?i)^name"), 2)
                 .when(take & (F.size(acc["parts"]) >= 3), 1).otherwise(0).alias("stop"),
-                F.when(keep, n["x1"]).otherwise(acc["x1"]).alias("x1"), F.when(keep, n["y1"] - n["y0"]).otherwise(acc["h"]).alias("h"))
+                F.when(keep, n["x1"]).otherwise(acc["x1"]).alias("x1"), F.when(keep, n["y1"] - n["y0"]).otherwise(acc["h"]).alias("h"),
+                F.struct(*[F.when(take, edge(c)).otherwise(acc["box"][c]).alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("box"))
 
         return F.aggregate(F.slice(spans, i + 1, F.greatest(F.size(spans), F.lit(1))), zero, step, lambda a: F.struct(
-            (a["stop"] == 2).alias("abort"), F.trim(F.array_join(F.filter(a["parts"], lambda p: p != ""), " ")).alias("name")))
+            (a["stop"] == 2).alias("abort"), a["box"].alias("box"), F.trim(F.array_join(F.filter(a["parts"], lambda p: p != ""), " ")).alias("name")))
 
     return F.transform(places, walk)
 

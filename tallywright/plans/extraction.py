@@ -194,12 +194,12 @@ def report_fields(spark, d):
 @query("t15_t17_bank_lines", X.with_views("SELECT doc_id, cast(dt AS varchar) AS date, descr AS \"desc\", amount_c/100.0 AS amount, balance_c/100.0 AS balance FROM o_txns", "o_txns"))
 def bank_lines(spark, d):
     r = bank_rows(spark, d)
-    return E.bank_lines(E.bank_rows(r), E.statement_year(r, X.TODAY)).select("doc_id", "date", "desc", "amount", "balance")
+    return E.extract_statements(r, X.TODAY)["txns"].select("doc_id", "date", "desc", "amount", "balance")
 
 
 @query("t16_bank_summary", X.with_views("SELECT doc_id, begin_c/100.0 AS begin_balance, end_c/100.0 AS end_balance, deposits_c/100.0 AS total_deposits, withdrawals_c/100.0 AS total_withdrawals FROM d_statements", "d_statements"))
 def bank_summary(spark, d):
-    return E.bank_summary(E.bank_rows(bank_rows(spark, d)))
+    return E.bank_summary(bank_rows(spark, d))
 
 
 @query("t18_account_holder", X.with_views("SELECT doc_id, holder FROM d_statements", "d_statements"))

@@ -9,8 +9,11 @@ from tallywright.functions import geometry as G
 from tallywright.functions import text as T
 from tallywright.operators import file_rules as R
 from tallywright.operators import rows as RW
-from tallywright.operators.evidence import evidence
+from tallywright.operators import bank_rules as B
+from tallywright.operators import evidence as EV
+from tallywright.operators import fields as E
 from tallywright.plans import fixtures as X
+from tallywright.plans import statements as BK
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
 
@@ -277,14 +280,82 @@ def robust_blocks(spark, d):
     return R.robust_hot_spots(b).select("page_id", "blocks", F.round("z", 6).alias("z"), "x0", "y1")
 
 
-@query("f6_evidence_boxes", SB.sql("SELECT doc_id, count(*) AS n, min(10.1::double) AS x0 FROM stub_findings CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(x) WHERE code = 'C_NET_MATH' GROUP BY doc_id"))
+# Where the printed stub has each value: the same page as `fixtures.stub_spans` lays out, five points a character, nine points high.
+_W = lambda c: f"5 * length(format('${{:,.2f}}', {c}/100.0))"
+_AT = lambda field, cents, x, y, no="NULL", where="true", bare=0: (
+    f"SELECT doc_id, '{field}' AS field, {no}::bigint AS line_no, x AS x0, {y} AS y0, x + {_W(cents)} - {bare} AS x1 FROM (SELECT *, {x} AS x FROM e_print) q WHERE {cents} IS NOT NULL AND ({where})")
+_SWAPPED = lambda ytd, left, right: f"CASE WHEN k % 7 = 0 AND {ytd} IS NOT NULL THEN {right} ELSE {left} END"
+_PLAIN = "k % 83 > 0"  # overtime whose three amounts multiply out
+_ROW = lambda field, y, right: f"SELECT doc_id, '{field}', NULL::bigint, 40, {y}, {right} FROM e_print"
+STUB_BOXES = "e_print AS (SELECT *, CASE WHEN gross_ytd_c IS NOT NULL THEN net_c * n_periods END AS net_y FROM d_wide), e_box AS (" + " UNION ALL ".join([
+    _AT("gross", "gross_c", _SWAPPED("gross_ytd_c", 120, 220), 360), _AT("gross_ytd", "gross_ytd_c", _SWAPPED("gross_ytd_c", 220, 120), 360, where="gross_c IS NOT NULL"),
+    _AT("total_deductions", "total_c", 150, 380), _AT("net", "net_c", _SWAPPED("net_y", 120, 220), 400), _AT("net_ytd", "net_y", _SWAPPED("net_y", 220, 120), 400),
+    _AT("earning", "reg_c", 120, 260, 1), _AT("earning", "ot_c", 230, 281, 2, _PLAIN + " OR k % 7 = 0"), _AT("earning", "hours_c", 170, 280, 2, f"NOT ({_PLAIN}) AND k % 7 > 0", 5),
+    _AT("deduction", "fed_c", 450, 262, 3), _AT("deduction", "ss_c", _SWAPPED("ss_ytd_c", 450, 520), 280, 4), _AT("deduction", "med_c", 120, 300, 5),
+    _AT("deduction", "health_c", 150, 320, 6), _AT("deduction", "k401_c", 120, 340, 7),
+    _AT("social_security", "ss_c", _SWAPPED("ss_ytd_c", 450, 520), 280), _AT("medicare", "med_c", 120, 300),
+    _AT("shrunk", "gross_c", _SWAPPED("gross_ytd_c", 120, 220), 360, where="gross_ytd_c + 2 < gross_c"),
+    _AT("shrunk_ytd", "gross_ytd_c", _SWAPPED("gross_ytd_c", 220, 120), 360, where="gross_ytd_c + 2 < gross_c"),
+    _AT("shrunk", "ss_c", _SWAPPED("ss_ytd_c", 450, 520), 280, where="NOT coalesce(gross_ytd_c + 2 < gross_c, false) AND NOT coalesce(net_y + 2 < net_c, false) AND ss_ytd_c + 2 < ss_c"),
+    _AT("shrunk_ytd", "ss_ytd_c", _SWAPPED("ss_ytd_c", 520, 450), 280, where="NOT coalesce(gross_ytd_c + 2 < gross_c, false) AND NOT coalesce(net_y + 2 < net_c, false) AND ss_ytd_c + 2 < ss_c"),
+    _ROW("pay_date", 100, 150), _ROW("period_start", 120, 230), _ROW("period_end", 120, 230),
+    "SELECT doc_id, 'employee', NULL::bigint, 95, 80, 124 + 5 * length(split_part(employee, ' ', 2)) FROM e_print WHERE employee IS NOT NULL"]) + """),
+e_points AS (SELECT * FROM (VALUES """ + ", ".join(f"('{code.split('/')[0]}', '{(code + '/').split('/')[1]}', '{name}', {i})" for code, names in EV.POINTS_AT.items() for i, name in enumerate(names) if not name.endswith(("@", "#"))) + """) p(code, variant, field, place)),
+e_found AS (SELECT *, CASE WHEN code = 'C_DATES' THEN CASE WHEN severity = 'high' THEN 'length' ELSE 'early' END WHEN code = 'C_NAME' THEN 'stub' ELSE '' END AS variant FROM stub_findings)"""
+
+
+@query("f6_evidence_boxes", X.with_views("WITH " + SB.RULES + ", " + STUB_BOXES + """
+SELECT f.doc_id, f.code, f.emit, p.place, b.x0::double AS x0, b.y0::double AS y0, b.x1::double AS x1, b.y0::double + 9 AS y1, 1::bigint AS page
+FROM e_found f JOIN e_points p USING (code, variant) JOIN e_box b ON b.doc_id = f.doc_id AND b.field = p.field WHERE f.code NOT IN ('C_RATE_HOURS')""", "o_lines", "d_wide"))
 def evidence_boxes(spark, d):
-    s = X.stubs(spark, d)
-    names = F.array(*[F.lit(n) for n in ("gross", "net", "total_deductions", "employee")])
-    boxes = s.select("doc_id", F.explode(names).alias("field"), F.lit(0).alias("ord"), F.lit(1).alias("page"), F.lit(10.07).alias("x0"), F.lit(1.0).alias("y0"),
-                     F.lit(20.0).alias("x1"), F.lit(9.0).alias("y1"))
-    e = evidence(SB.findings(spark, d), boxes).where(F.col("code") == "C_NET_MATH")
-    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.element_at("bbox", 1)).alias("x0"))
+    """Findings of the typed stubs with the boxes that the extraction of the printed ones read them from."""
+    sp = RW.clean_spans(X.stub_spans(spark, d))
+    x = E.extract_stub_tables(RW.build_rows(sp), sp, X.stub_pages(spark, d))
+    e = EV.evidence(SB.findings(spark, d), x["boxes"])
+    return e.select("doc_id", "code", "emit", "place", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate(E.BOX)], "page")
+
+
+@query("f6_line_evidence", X.with_views("""SELECT doc_id, 'B_RUNNING' AS code, txn_no AS sub, unnest([0, 1])::bigint AS place, unnest([300.0, 400.0])::double AS x0, 200 + original * 12.0::double AS y0,
+       unnest([300 + 5 * length(format('${:,.2f}', amount_c/100.0)), 400 + 5 * length(format('${:,.2f}', balance_c/100.0))])::double AS x1
+FROM (SELECT t.doc_id, txn_no AS original, row_number() OVER (PARTITION BY t.doc_id ORDER BY txn_no) - 1 AS txn_no, amount_c, balance_c FROM o_txns t) n
+WHERE (doc_id, original) IN (SELECT doc_id, first_break FROM facts WHERE first_break IS NOT NULL)
+UNION ALL SELECT doc_id, 'C_RATE_HOURS', k, unnest([0, 1, 2])::bigint, unnest([120, 170, 230])::double, unnest([280, 280, 281])::double, unnest([120 + %s, 170 + 5 * length(format('{:,.2f}', hours_c/100.0)), 230 + %s])::double
+FROM (SELECT doc_id, 0::bigint AS k, rate_c, hours_c, ot_c FROM d_wide WHERE ot_c IS NOT NULL AND k %% 83 > 0 AND doc_id %% 5 = 0) w""".replace("SELECT doc_id, 'B_RUNNING'", "WITH " + BK.FACTS.replace("%", "%%") + "SELECT doc_id, 'B_RUNNING'") % (_W("rate_c"), _W("ot_c")), "o_txns", "d_statements", "d_wide"))
+def line_evidence(spark, d):
+    """Evidence of single lines: the first break of printed statements, and overtime lines of every fifth stub under a finding of their own."""
+    x = E.extract_statements(RW.build_rows(RW.clean_spans(X.statement_spans(spark, d))), X.TODAY)
+    st = X.statements(spark, d).select("doc_id", "begin_balance", "ocr_used", "applicant")
+    facts = B.statement_facts(B.balance_chain(x["txns"], st))
+    own = x["statements"].drop("begin_balance").join(st, "doc_id")
+    breaks = EV.evidence(B.bank_findings(own, x["txns"], facts).where(F.col("code") == "B_RUNNING"), x["boxes"])
+    sp = RW.clean_spans(X.stub_spans(spark, d))
+    s = E.extract_stub_tables(RW.build_rows(sp), sp, X.stub_pages(spark, d))
+    rated = s["lines"].where((F.col("kind") == "earning") & F.col("rate").isNotNull() & (F.col("doc_id") % 5 == 0))
+    # the rule itself is silent on these lines, so a finding is made for each: what is compared is where it points
+    about = rated.select("doc_id", F.lit("C_RATE_HOURS").alias("code"), F.lit("").alias("variant"), F.lit(54).alias("emit"), F.col("line_no").alias("sub"), F.lit(None).cast("int").alias("page"))
+    hours = EV.evidence(about, s["boxes"]).withColumn("sub", F.lit(0).cast("bigint"))
+    pick = lambda e: e.select("doc_id", "code", "sub", "place", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate(E.BOX) if c != "y1"])
+    return pick(breaks).unionByName(pick(hours))
+
+
+_FILE_BOX = lambda code, body: f"SELECT doc_id, '{code}' AS code, page::bigint AS page, x0, y0, x1, y1 FROM ({body}) q"
+
+
+@query("f6_file_evidence", X.with_views("WITH " + PAIRS + ", " + FONTS + ", six AS (SELECT * FROM hit WHERE doc_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY i, j) <= 6)" + " ".join([
+    _FILE_BOX("F_STACKED", "SELECT s.* FROM six JOIN d_spans s ON s.doc_id = six.doc_id AND s.page = six.page AND s.span_no = six.i"), "UNION ALL",
+    _FILE_BOX("F_FONT", "SELECT s.* FROM d_spans s JOIN dom USING (doc_id) WHERE total >= 5 AND total > n_dominant AND n_dominant >= 0.6 * total AND total - n_dominant <= 6 AND CASE WHEN contains(font, 'Courier') THEN 'courier' ELSE 'arial' END <> dominant"), "UNION ALL",
+    _FILE_BOX("F_ANNOT", "SELECT * FROM d_spans WHERE span_no % 5 = 0")]), "d_spans"))
+def file_evidence(spark, d):
+    """Boxes of file findings: overlapping texts, amounts in another typeface, annotations."""
+    s = spans(spark, d)
+    pages = s.groupBy("doc_id", "page").agg(F.bool_or("ocr").alias("ocr"))
+    live = s.join(pages.where(~F.col("ocr")).select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    money = s.select("doc_id", "page", F.col("span_no").alias("seq"), "font", X.money("amount_c").alias("value"), *E.BOX)
+    annots = s.where(F.col("span_no") % 5 == 0).withColumn("type", F.lit("Stamp"))
+    found = R.stacked_findings(s, pages).unionByName(R.font_findings(money)).unionByName(R.annotation_findings(annots))
+    boxes = EV.stacked_boxes(R.stacked_pages(live)).unionByName(EV.font_boxes(R.font_outliers(money))).unionByName(EV.annotation_boxes(annots))
+    e = EV.evidence(found, boxes)
+    return e.select("doc_id", "code", "page", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate(E.BOX)])
 
 
 @query("f3_f4_formats", """SELECT event_id, format('${:,.2f}', value * 1000) AS usd, CASE WHEN event_id < 3600 THEN cast(event_id // 60 AS varchar) || ' minutes' WHEN event_id < 172800 THEN cast(event_id // 3600 AS varchar) || ' hours' ELSE cast(event_id // 86400 AS varchar) || ' days' END AS gap FROM events""")

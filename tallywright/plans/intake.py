@@ -8,6 +8,7 @@ import uuid
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tallywright import constants as K
 from tallywright.operators.decide import score_documents
 from tallywright.plans import applications as AP
 from tallywright.plans import fixtures as X
@@ -76,7 +77,7 @@ def ocr_words(spark, d):
 def positioned_text(spark, d):
     from tallywright.operators.rows import clean_spans
     s = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("page"), F.concat(F.lit(" "), "l_returnflag").alias("text"), F.col("l_tax").alias("size"))
-    return clean_spans(s).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return clean_spans(s, K.MAX_PAGES).where("NOT past_limit").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("s7_pruned_scan", "SELECT o_orderkey AS doc_id, o_custkey AS app_id FROM orders WHERE o_orderstatus = 'F'")
@@ -140,7 +141,6 @@ def report_view(spark, d):
 
 @query("o7_prefix_rows", X.with_views("SELECT doc_id, least(6 + (begin_c IS NOT NULL)::int + (end_c IS NOT NULL)::int - 3 + 2 * n, 14) AS n FROM d_statements JOIN (SELECT doc_id, count(*) AS n FROM d_txn_pairs GROUP BY 1) t USING (doc_id)", "d_statements", "d_txn_pairs"))
 def prefix_rows(spark, d):
-    from tallywright import constants as K
     from tallywright.operators.ordered import top_k
     from tallywright.plans.extraction import bank_rows
     head = top_k(bank_rows(spark, d).select("doc_id", "page", "at"), ["doc_id"], [F.col("page"), F.col("at")], K.HOLDER_ROWS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -36,3 +38,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current is None:
         context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared")
     return context.getCheckpointDir()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write what several steps read to the shared folder and read it back: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -108,7 +108,7 @@ def test_statement_year_and_lines(spark):
 
 def test_summary_row_naming_both_totals(spark):
     sp = lay(spark, ["Deposits", "and", "withdrawals", "~10.00"], ["Deposits", "less", "withdrawals", "~20.00"], ["Ending", "balance", "~5.00"])
-    s = E.bank_summary(E.bank_rows(R.build_rows(sp))).first()
+    s = E.bank_summary(R.build_rows(sp)).first()
     assert (s.total_deposits, s.total_withdrawals, s.end_balance, s.begin_balance) == (D("10.00"), D("20.00"), D("5.00"), None)
 
 
