@@ -309,8 +309,9 @@ def bank_row_facts(rows: DataFrame) -> DataFrame:
     """All that single rows of a statement say, in one narrow pass: amounts, kind of row, parts of a date, year, holder."""
     r = with_name(with_amounts(rows), "holder", T.has(F.col("text"), K.HOLDER_ROW, True), K.HOLDER_LABEL).drop("spans")
     low, anchored = F.lower("text"), "(?U)^" + K.TXN_LINE
-    g = lambda i: F.regexp_extract("text", anchored, i)
-    txn = F.col("text").rlike(anchored) & (F.size("vals") >= 2) & ~T.has(low, K.CARRIED_FORWARD)
+    dated = F.col("text").rlike(r"^\s*\p{Nd}")  # cheap test first
+    g = lambda i: F.when(dated, F.regexp_extract("text", anchored, i)).otherwise("")
+    txn = dated & (F.size("vals") >= 2) & F.col("text").rlike(anchored) & ~T.has(low, K.CARRIED_FORWARD)
     dep, wd = T.has(low, K.DEPOSIT_TOTAL_LABEL), T.has(low, K.WITHDRAWAL_TOTAL_LABEL)
     role = (F.when(txn, "txn").when(T.has(low, K.BEGIN_LABEL), "begin").when(T.has(low, K.CLOSE_LABEL), "end")
             .when(dep & wd, "both").when(dep, "deposits").when(wd, "withdrawals"))
@@ -358,7 +359,7 @@ def extract_statements(rows: DataFrame, today: str) -> dict[str, DataFrame]:
     marked = facts.where(F.size("vals") > 0).withColumns({"last_value": F.col("last.value"), "amount": F.col("before.value")})
     lines = bank_lines(marked, year_of(facts, today), ["last", "before"])
     lines = lines.withColumn("_no", line_number(F.struct(F.col("line_at.page").alias("page"), F.col("line_at.at").alias("at"), F.lit(0).alias("seg_no"))))
-    lines = staged(with_rank(lines, ["doc_id"], "_no", "txn_no").withColumn("txn_no", (F.col("txn_no") - 1).cast("bigint")).drop("_no"), "bank-lines")
+    lines = with_rank(staged(lines, "bank-lines"), ["doc_id"], "_no", "txn_no").withColumn("txn_no", (F.col("txn_no") - 1).cast("bigint")).drop("_no")
     head = top_k(facts.select("doc_id", *WHERE, "holder", "holder_box"), ["doc_id"], [F.col("page"), F.col("at")], K.HOLDER_ROWS)
     named = head.groupBy("doc_id").agg(first(placed(F.col("holder"), "holder_box"), F.col("holder").isNotNull()).alias("holder_at"))
     sums = placed_summary(marked)

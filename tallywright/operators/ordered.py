@@ -1,8 +1,8 @@
 """Ordered operators that hold up when one key owns a large share of the rows.
 
 A plain ``lag`` puts a whole key into one task. Here the rows of a key with more than ``CHUNK`` of them are
-cut into chunks by the value of the ordering number (a unique whole number). The width of a chunk follows
-from the key's own range and count, so sparse numbers such as hashes fill chunks as well as dense ones. The
+cut into chunks by the value of the ordering number (a unique whole number), at quantiles of the key's own
+numbers, so chunks fill evenly however the numbers lie. The
 neighbour is found inside each chunk, and only one row per chunk travels to the next level to fill the
 chunk's first row.
 """
@@ -15,27 +15,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+QUANTILES = 64
 
 
 def _with_chunk(df: DataFrame, levels: Sequence[str], number: str, chunk: int) -> DataFrame:
-    """Add _chunk: 0 for keys of up to ``chunk`` rows. Only larger keys are looked up, one in ``chunk`` rows at most."""
-    value = F.col(number).cast("double")
-    wide = (df.groupBy(*levels).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
-            .select(*levels, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_rows") / chunk)).alias("_width")))
-    at = F.coalesce(F.floor((value - F.col("_lo")) / F.col("_width")), F.lit(0))
-    return df.join(F.broadcast(wide), list(levels), "left").withColumn("_chunk", at).drop("_lo", "_width")
-
+    """Add _chunk (0 for keys of up to ``chunk`` rows) and _wide, whether a key has more. One row in ``chunk`` is such a key at most.
 
-def _fill_from_level(df: DataFrame, keys: Sequence[str], level: str, inner: Column, payload: Column) -> DataFrame:
-    """Give each (keys, level) group's first row the last payload of the level before it."""
-    tails = df.groupBy(*keys, level).agg(F.max_by(payload, inner).alias("_tail"))
+    A wide key is cut at QUANTILES of its own numbers, found by a sketch, parts are put together or cut evenly so that a chunk has about
+    ``chunk`` rows; so numbers may lie as unevenly as they like, and no chunk holds more than a part does. Whether there is any wide key
+    is asked first, in a job of its own: there hardly ever is, and then nothing else is done.
+    """
+    value = F.col(number).cast("double")
+    many = df.groupBy(*levels).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
+    if many.isEmpty():
+        return df.withColumn("_chunk", F.lit(0).cast("bigint")).withColumn("_wide", F.lit(False))
+    marks = F.percentile_approx(value, F.lit([i / QUANTILES for i in range(QUANTILES + 1)]), F.lit(10_000))
+    wide = df.join(F.broadcast(many), list(levels)).groupBy(*levels).agg(marks.alias("_marks"), F.max("_rows").alias("_rows"))
+    part = F.size(F.filter(F.slice("_marks", 2, QUANTILES - 1), lambda m: m < value))
+    lo, hi = F.get("_marks", part), F.get("_marks", part + 1)
+    pieces = F.ceil(F.col("_rows") / (QUANTILES * chunk))
+    piece = F.least(pieces - 1, F.greatest(F.lit(0), F.floor((value - lo) * pieces / (hi - lo + 1))))
+    together = F.floor(part * F.least(F.lit(QUANTILES), F.ceil(F.col("_rows") / chunk)) / QUANTILES)
+    at = F.when(F.col("_rows").isNotNull(), together.cast("bigint") * (1 << 20) + piece).otherwise(F.lit(0).cast("bigint"))
+    return df.join(F.broadcast(wide), list(levels), "left").withColumn("_chunk", at).withColumn("_wide", F.col("_rows").isNotNull()).drop("_marks", "_rows")
+
+
+def _fill_from_level(df: DataFrame, keys: Sequence[str], level: str, inner: Column, payload: Column, wide_only: bool = False) -> DataFrame:
+    """Give each (keys, level) group's first row the last payload of the level before it.
+
+    With ``wide_only`` just the keys that were cut have several levels: their tails, one a chunk, are few enough to be broadcast, and
+    the other rows are not shuffled again.
+    """
+    tails = (df.where("_wide") if wide_only else df).groupBy(*keys, level).agg(F.max_by(payload, inner).alias("_tail"))
     carry = (
         tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(level)))
         .where(F.col("_carry").isNotNull())
         .select(*keys, level, "_carry")
     )
     return (
-        df.join(carry, [*keys, level], "left")
+        df.join(F.broadcast(carry) if wide_only else carry, [*keys, level], "left")
         .withColumn("_prev", F.coalesce("_prev", "_carry"))
         .drop("_carry")
     )
@@ -62,10 +80,10 @@ def with_previous(
     out = _with_chunk(df, levels, number, chunk)
     inside = Window.partitionBy(*levels, "_chunk").orderBy(number)
     out = out.withColumn("_prev", F.lag(value).over(inside))
-    out = _fill_from_level(out, levels, "_chunk", order, value)
+    out = _fill_from_level(out, levels, "_chunk", order, value, wide_only=True)
     if outer:
         out = _fill_from_level(out, keys, outer, order, value)
-    return out.drop("_chunk").withColumnRenamed("_prev", name)
+    return out.drop("_chunk", "_wide").withColumnRenamed("_prev", name)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -85,10 +103,11 @@ def with_rank(df: DataFrame, keys: Sequence[str], number: str, name: str = "rank
     keys = list(keys)
     d = _with_chunk(df, keys, number, chunk)
     inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(number))
-    sizes = d.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    sizes = d.where("_wide").groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))  # of cut keys only: one row a chunk
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(*keys, "_chunk", before.alias("_before"))
-    return d.withColumn(name, inside).join(sizes, [*keys, "_chunk"]).withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+    ranked = d.withColumn(name, inside).join(F.broadcast(sizes), [*keys, "_chunk"], "left")
+    return ranked.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_chunk", "_before", "_wide")
 
 
 def cumulative_counts(df: DataFrame, value: str, counts: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:

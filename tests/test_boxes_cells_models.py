@@ -148,3 +148,18 @@ def test_pages_too_small_for_the_cell_rules(spark):
     blocks = spark.createDataFrame([(p, x, y, 1.0 + 500 * (x < 2 and y == 0), 0.5) for p, n in ((1, 6), (2, 5)) for x in range(n) for y in range(n)],
                                    "page_id long, bx int, by int, score double, edge_share double")
     assert [r.page_id for r in R.robust_hot_spots(blocks).collect()] == [1]
+
+
+def test_uneven_numbers_fill_chunks(spark):
+    """Half of a key's numbers lie close together, half far apart: no chunk holds more than a few parts of the key."""
+    from tallywright.operators import ordered
+
+    rows = [(1, i) for i in range(3000)] + [(1, 10**6 + i * 10**6) for i in range(3000)] + [(2, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, n long").repartition(5)
+    sizes = [r["count"] for r in ordered._with_chunk(df, ["k"], "n", 100).where("k = 1").groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 100
+    got = {(r.k, r.n): (r.prev.n if r.prev else None) for r in ordered.with_previous(df, ["k"], "n", ["n"], chunk=100).collect()}
+    ordered_rows = sorted(rows)
+    assert got == {r: (q[1] if q and q[0] == r[0] else None) for q, r in zip([None, *ordered_rows], ordered_rows)}
+    ranks = {(r.k, r.n): r["rank"] for r in ordered.with_rank(df, ["k"], "n", chunk=100).collect()}
+    assert all(ranks[r] == 1 + sum(q[0] == r[0] and q[1] < r[1] for q in rows) for r in rows[::97])

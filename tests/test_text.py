@@ -121,3 +121,29 @@ def test_unknown_document_type(spark):
     assert one(spark, E.classify_text(F.col("t")), t="BULLETIN DE PAIE salaire net a payer") == "unknown"
     assert one(spark, E.classify_text(F.col("t")), t="Gross Net Pay YTD medicare") == "paystub"
     assert one(spark, E.classify_text(F.col("t")), t="Deposits Withdrawals Ending Balance") == "bank_statement"
+
+
+def test_a_long_page_is_read_in_one_pass(spark):
+    """Fifty thousand spans stepping by half a height: rows of two or three spans each, over many Arrow batches, in linear time."""
+    import time
+
+    n = 50_000
+    spans = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("span_no"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"),
+                                  F.lit(0.0).alias("x0"), (F.col("id") * 5.0).alias("y0"), F.lit(9.0).alias("x1"), (F.col("id") * 5.0 + 10).alias("y1"), F.lit("F").alias("font"), F.lit(9.0).alias("size"))
+    start = time.time()
+    texts = [r.text for r in R.build_rows(spans).orderBy("at").select("text").collect()]
+    assert time.time() - start < 30
+    # a span stands ten high, so the second of a row is five off its first, within 5.5; the third is ten off
+    assert texts == [f"w{i} w{i + 1}" for i in range(0, n, 2)]
+
+
+def test_rows_do_not_depend_on_batches(spark):
+    rng = random.Random(3)
+    data = [(d, p, i, f"w{i}", rng.uniform(0, 500), y, 510.0, y + rng.choice([4.0, 9.0]), "F", 9.0) for d in (1, 2) for p in (1, 2, 3) for i in range(40) for y in [rng.uniform(0, 60)]]
+    frame = spark.createDataFrame(data, S.SPANS)
+    whole = sorted((r.doc_id, r.page, r["at"].y, r.text, r.y1, len(r.spans)) for r in R.build_rows(frame).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted((r.doc_id, r.page, r["at"].y, r.text, r.y1, len(r.spans)) for r in R.build_rows(frame).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
