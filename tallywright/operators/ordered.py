@@ -77,7 +77,8 @@ def with_previous(
     value = F.struct(*payload)
     order = F.col(number)
     levels = keys + ([outer] if outer else [])
-    out = _with_chunk(df, levels, number, chunk)
+    # dealt explicitly: the rows may be a union, whose parts are not to be taken as dealt alike
+    out = _with_chunk(df, levels, number, chunk).repartition(*levels, "_chunk")
     inside = Window.partitionBy(*levels, "_chunk").orderBy(number)
     out = out.withColumn("_prev", F.lag(value).over(inside))
     out = _fill_from_level(out, levels, "_chunk", order, value, wide_only=True)
@@ -101,7 +102,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def with_rank(df: DataFrame, keys: Sequence[str], number: str, name: str = "rank", chunk: int = CHUNK) -> DataFrame:
     """Exact 1-based position by a unique whole number within ``keys``: position in the chunk plus the rows before it."""
     keys = list(keys)
-    d = _with_chunk(df, keys, number, chunk)
+    d = _with_chunk(df, keys, number, chunk).repartition(*keys, "_chunk")
     inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(number))
     sizes = d.where("_wide").groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))  # of cut keys only: one row a chunk
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -189,6 +189,15 @@ def income_notes(spark, d):
     return i.select("app_id", F.size("notes").alias("n_notes"))
 
 
+@query("d8_income_note_rows", sql("""
+SELECT app_id, 0::bigint AS place, i.doc_id, filename || ': not annualised, how often it is paid is unknown.' AS note FROM inputs i JOIN d_wide w USING (app_id, doc_id) WHERE NOT excluded AND annual IS NULL
+UNION ALL SELECT app_id, 1, NULL, 'The average of the year to date is below recent pay.' FROM inc WHERE n > 0 AND ytd_num * 12 * n * 100 < total * 85 * ytd_den
+UNION ALL SELECT app_id, 2, NULL, 'Provisional: some documents still wait for review.' FROM (SELECT DISTINCT app_id FROM inputs WHERE eff = 'review' AND annual IS NOT NULL)
+UNION ALL SELECT app_id, 3, NULL, 'Documents that failed do not count.' FROM inc WHERE n_excluded > 0""", INCOME))
+def income_note_rows(spark, d):
+    return I.income_notes(reports(spark, d), X.applications(spark, d), X.orgs(spark, d))
+
+
 @query("d5_income_inputs", sql(f"""
 SELECT doc_id, CASE WHEN excluded THEN 'excluded' WHEN annual IS NULL THEN 'unknown_frequency' ELSE 'used' END AS use,
        CASE WHEN annual IS NOT NULL THEN {half_even('annual::hugeint', '12')} / 100.0 END AS monthly FROM inputs""", INCOME))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tallywright import constants as K
 from tallywright.functions import text as T
+from tallywright.operators import bank_rules as B
 from tallywright.operators import decide as D
 from tallywright.operators import fields as E
 from tallywright.operators import rows as R
 from tallywright.operators import stub_rules as S
 from tallywright.operators import file_rules as FR
 from tallywright.plans import fixtures as X
+from tallywright.plans import screen as SC
+from tallywright.plans import statements as BK
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
 
@@ -180,9 +183,21 @@ def frequency(spark, d):
     return E.stub_headers(stub_rows(spark, d)).select("doc_id", "frequency_stated", "frequency")
 
 
-@query("t19_money_spans", sql("SELECT doc_id, sum(n_vals) AS n FROM segs GROUP BY doc_id", SEGMENTS))
+_ALL_AMOUNTS = ("reg_c", "fed_c", "ss_c", "ss_ytd_c", "med_c", "health_c", "k401_c", "gross_c", "total_c", "net_c")
+
+
+@query("t19_money_spans", X.with_views("SELECT doc_id, count(*) AS n, sum(c)/100.0 AS total, min(x) AS x0 FROM (" + " UNION ALL ".join(
+    [f"SELECT doc_id, {c} AS c, NULL::double AS x FROM d_wide WHERE {c} IS NOT NULL" for c in _ALL_AMOUNTS]
+    + [f"SELECT doc_id, {c}, NULL FROM d_wide WHERE ot_c IS NOT NULL" for c in ("rate_c", "hours_c", "ot_c")]
+    + ["SELECT doc_id, gross_ytd_c, NULL FROM d_wide WHERE gross_c IS NOT NULL AND gross_ytd_c IS NOT NULL", f"SELECT doc_id, {NET_YTD}, NULL FROM d_wide WHERE net_c IS NOT NULL AND {NET_YTD} IS NOT NULL"]
+    + [f"SELECT doc_id, {c}, 200 FROM d_statements WHERE {c} IS NOT NULL" for c in ("begin_c", "end_c", "deposits_c", "withdrawals_c")]
+    + ["SELECT doc_id, amount_c, 300 FROM o_txns", "SELECT doc_id, balance_c, 400 FROM o_txns"]) + ") a GROUP BY doc_id", "d_wide", "d_statements", "o_txns"))
 def money_spans(spark, d):
-    return E.money_spans(E.money_segments(stub_rows(spark, d))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Every amount of stubs and statements, with its value and, of statements, its place."""
+    stubs = E.money_spans(E.money_segments(stub_rows(spark, d))).withColumn("x0", F.lit(None).cast("double"))
+    banks = E.extract_statements(bank_rows(spark, d), X.TODAY)["money"]
+    both = stubs.select("doc_id", "value", "x0").unionByName(banks.select("doc_id", "value", "x0"))
+    return both.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("x0").alias("x0"))
 
 
 @query("t20_report_fields", sql("SELECT doc_id, cast(pay_date AS varchar) AS pay_date, employee FROM d_wide", None))
@@ -243,3 +258,38 @@ def screen_printed(spark, d):
     st, lines = E.extract_stubs(R.build_rows(sp), sp, X.stub_pages(spark, d))
     facts = X.stubs(spark, d).select("doc_id", "applicant", "ocr_used", "created")
     return S.all_stub_findings(st.join(facts, "doc_id"), lines, X.TODAY).select("doc_id", "code", "severity")
+
+
+_PRINTED_STUBS = """
+SELECT doc_id, code, severity FROM stub_findings
+WHERE code <> 'C_RATE_HOURS' AND (code <> 'C_MISSING' OR doc_id IN (SELECT doc_id FROM d_wide WHERE gross_c IS NULL OR net_c IS NULL OR employee IS NULL))
+UNION ALL SELECT doc_id, 'C_YTD_LT', CASE WHEN ocr_used THEN 'medium' ELSE 'critical' END FROM d_wide
+WHERE k % 7 = 0 AND abs(rate_c * hours_c / 100 - ot_c) > 5 AND hours_c + 2 < ot_c AND doc_id NOT IN (SELECT doc_id FROM stub_findings WHERE code = 'C_YTD_LT')
+UNION ALL SELECT doc_id, 'C_YTD_PACE', 'medium' FROM d_wide WHERE frequency IS NULL AND gross_ytd_c >= 70 * gross_c AND period_end > period_start"""
+
+
+def printed(spark, d) -> SC.Printed:
+    """Stubs and statements printed on pages, and a sheet that is neither and one with hardly a word for every hundredth stub."""
+    w, st = X.stubs(spark, d), X.statements(spark, d)
+    names = ["doc_id", "app_id", "filename", "applicant", "ocr_used"]
+    base = w.select(*names, "created").unionByName(st.select(*names, F.lit(None).cast("timestamp_ntz").alias("created")))
+    odd = w.where("doc_id % 100 IN (1, 2)").select((-F.col("doc_id")).alias("doc_id"), *names[1:], "created")
+    docs = base.unionByName(odd).withColumns({"sha256": F.sha2(F.col("doc_id").cast("string"), 256), "status": F.lit("done"), "decision": F.lit(None).cast("string"), "kind": F.lit("pdf")})
+    words = F.when(F.col("doc_id") % 100 == -1, 20).otherwise(3)
+    sheet = odd.select("doc_id", F.lit(1).alias("page"), F.explode(F.sequence(F.lit(1).cast("bigint"), words.cast("bigint"))).alias("span_no")).select(
+        "doc_id", "page", "span_no", F.lit("word").alias("text"), (F.col("span_no") * 20.0).alias("x0"), F.lit(10.0).alias("y0"), (F.col("span_no") * 20.0 + 15).alias("x1"), F.lit(19.0).alias("y1"), F.lit("Courier").alias("font"), F.lit(9.0).alias("size"))
+    spans = X.stub_spans(spark, d).withColumn("size", F.col("size").cast("double")).unionByName(X.statement_spans(spark, d).withColumn("size", F.col("size").cast("double"))).unionByName(sheet)
+    pages = docs.select("doc_id", F.lit(1).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("ocr"))
+    return SC.Printed(spans, pages, docs, X.applications(spark, d), X.orgs(spark, d))
+
+
+@query("screen_printed_documents", X.with_views("WITH " + SB.RULES + ", " + BK.FINDINGS + _PRINTED_STUBS + """
+UNION ALL SELECT doc_id, code, severity FROM bank_findings
+UNION ALL SELECT -doc_id, CASE WHEN doc_id % 100 = 1 THEN 'C_TYPE' ELSE 'C_UNREADABLE' END, 'high' FROM d_wide WHERE doc_id % 100 IN (1, 2)""", "o_lines", "o_txns", "d_statements", "d_wide"))
+def screen_documents(spark, d):
+    """From the printed text of all kinds of documents to their findings: rows, type, fields, rules, gate."""
+    inputs, _ = SC.read_documents(printed(spark, d), X.TODAY)
+    chain = B.balance_chain(inputs.bank_txns, inputs.statements)
+    found = S.all_stub_findings(inputs.stubs, inputs.stub_lines, X.TODAY).unionByName(B.bank_findings(inputs.statements, inputs.bank_txns, B.statement_facts(chain)))
+    found = found.unionByName(FR.type_findings(SC.typed_documents(inputs))).unionByName(inputs.file_findings)
+    return D.gated(found).select("doc_id", "code", "severity")

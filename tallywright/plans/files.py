@@ -273,11 +273,14 @@ dv AS (SELECT ok.*, med, n_ok FROM ok JOIN md USING (page_id)), mad AS (SELECT p
 z AS (SELECT *, (score - med) / mad AS zz FROM dv JOIN mad USING (page_id) WHERE (score - med) / mad > 7)
 SELECT page_id, count(*) AS blocks, round(max(zz), 6) AS z, min(bx) * 24 AS x0, (max("by") + 1) * 24 AS y1 FROM z GROUP BY page_id, n_ok HAVING count(*) >= 2 AND count(*) <= 0.12 * n_ok""")
 def robust_blocks(spark, d):
+    return R.robust_hot_spots(blocks(spark, d)).select("page_id", "blocks", F.round("z", 6).alias("z"), "x0", "y1")
+
+
+def blocks(spark, d):
     li = X.table(spark, d, "lineitem")
     hot = (F.col("l_partkey") % 60 == 7) & (F.col("l_suppkey") % 3 == 0)
-    b = li.groupBy(F.col("l_suppkey").alias("page_id"), (F.col("l_partkey") % 60).alias("bx"), (F.col("l_orderkey") % 60).alias("by")).agg(
+    return li.groupBy(F.col("l_suppkey").alias("page_id"), (F.col("l_partkey") % 60).alias("bx"), (F.col("l_orderkey") % 60).alias("by")).agg(
         F.max(F.col("l_quantity") + F.when(hot, 400).otherwise(0)).alias("score"), F.max("l_tax").alias("edge_share"))
-    return R.robust_hot_spots(b).select("page_id", "blocks", F.round("z", 6).alias("z"), "x0", "y1")
 
 
 # Where the printed stub has each value: the same page as `fixtures.stub_spans` lays out, five points a character, nine points high.

@@ -13,7 +13,9 @@ from tallywright.operators import learn as L
 from tallywright.plans import fixtures as X
 from tallywright.plans import stubs as SB
 from tallywright.plans.registry import query
-from tallywright.session import ensure_checkpoint_dir
+from tallywright.plans.retrain import retrain
+from tallywright.session import ensure_checkpoint_dir, staged
+from tallywright.sources import sinks
 
 T_PAGE, T_CELL = 0.7, 0.5
 
@@ -272,3 +274,50 @@ def retrained(spark, d):
     scored_rows = L.score_rows(model, f).select(F.col("faulty").cast("int").alias("label"), F.round("probability", 9).alias("score"), "decision")
     rows = scored_rows.agg(F.count("*").alias("base_rows"), F.count("decision").alias("labelled_rows"))
     return L.auc(scored_rows).select((F.col("auc") > 0.7).alias("better_than_chance")).join(F.broadcast(rows))  # one row each
+
+
+@query("m2_model_versions", SB.sql("SELECT 1::bigint AS version, (SELECT count(*) FROM d_wide) AS base_rows, 0::bigint AS labelled_rows, 42::bigint AS n_features, false AS newest, true AS readable UNION ALL SELECT 2, (SELECT count(*) FROM d_wide), (SELECT count(*) FROM d_wide WHERE decision IS NOT NULL), 42, true, true"))
+def model_versions(spark, d):
+    """Two runs of the retraining job, without and with reviewed rows, and what the store then says. Small models: the store is what is tested."""
+    store = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    f = staged(features(spark, d), "features")
+    base = f.withColumn("label", F.col("faulty").cast("int")).drop("decision", "faulty")
+    labelled = f.where(F.col("decision").isNotNull()).withColumn("label", (F.col("decision") == "fraudulent").cast("int")).drop("decision", "faulty")
+    retrain(spark, store, base, labelled.limit(0), trees=8)
+    retrain(spark, store, base, labelled, trees=8)
+    model = sinks.load_newest_model(spark, store)
+    known = sinks.model_versions(spark, store)
+    newest = known.agg(F.max("version").alias("top"))
+    readable = L.score_rows(model, base).where(~F.coalesce(F.col("probability").between(0, 1), F.lit(True))).isEmpty()
+    return known.join(F.broadcast(newest)).select("version", "base_rows", "labelled_rows", F.size("features").cast("bigint").alias("n_features"), (F.col("version") == F.col("top")).alias("newest"), F.lit(readable).alias("readable"))
+
+
+# Pages that the detector has scored (every second one) have its regions where it flagged them; the others fall back on the blocks.
+_AREAS = """
+det AS (SELECT s_suppkey AS page_id, 0.25::double + (s_suppkey % 3) / 8::double AS score, (s_suppkey % 50)::double AS x0, 10.0::double AS y0, (s_suppkey % 50) + 24.0::double AS x1, 58.0::double AS y1 FROM supplier WHERE s_suppkey % 4 = 0
+        UNION ALL SELECT s_suppkey, 0.125::double, 100.0, 200.0, 148.0, 224.0 FROM supplier WHERE s_suppkey % 8 = 0)"""
+
+
+@query("r15_pixel_areas", """
+WITH b AS (SELECT l_suppkey AS page_id, l_partkey % 60 AS bx, l_orderkey % 60 AS "by", max(l_quantity + CASE WHEN l_partkey % 60 = 7 AND l_suppkey % 3 = 0 THEN 400 ELSE 0 END) AS score, max(l_tax) AS es FROM lineitem GROUP BY 1, 2, 3),
+ok AS (SELECT * FROM b WHERE es > 0.04 AND page_id IN (SELECT page_id FROM b GROUP BY 1 HAVING max(bx) >= 5 AND max("by") >= 5)), md AS (SELECT page_id, median(score) AS med, count(*) AS n_ok FROM ok GROUP BY 1 HAVING count(*) >= 20),
+dv AS (SELECT ok.*, med, n_ok FROM ok JOIN md USING (page_id)), mad AS (SELECT page_id, median(abs(score - med)) * 1.4826::double + 0.5::double AS mad FROM dv GROUP BY 1),
+z AS (SELECT *, (score - med) / mad AS zz FROM dv JOIN mad USING (page_id) WHERE (score - med) / mad > 7),
+hot AS (SELECT page_id, 0.0::double AS score, min(bx) * 24 AS x0, min("by") * 24 AS y0, (max(bx) + 1) * 24 AS x1, (max("by") + 1) * 24 AS y1 FROM z WHERE page_id % 2 = 1 GROUP BY page_id, n_ok HAVING count(*) >= 2 AND count(*) <= 0.12 * n_ok),
+""" + _AREAS.strip() + """, areas AS (SELECT * FROM det UNION ALL SELECT * FROM hot), f AS (SELECT page_id, count(*) AS n, max(score) AS score FROM areas GROUP BY 1)
+SELECT page_id AS doc_id, n, score, round_even(x0 * 0.5, 1) AS x0, round_even(y0 * 0.25, 1) AS y0, round_even(x1 * 0.5, 1) AS x1, round_even(y1 * 0.25, 1) AS y1 FROM f JOIN areas USING (page_id) """.replace("areas USING (page_id) ", "(SELECT page_id, x0, y0, x1, y1 FROM areas) q USING (page_id)"))
+def pixel_areas(spark, d):
+    """F_PIXEL with its boxes, from the detector where it scored a page and from the blocks elsewhere."""
+    from tallywright.operators import evidence as EV
+    from tallywright.operators import file_rules as FR
+    from tallywright.plans.files import blocks
+
+    sup = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    box = lambda *c: [F.lit(float(v)).alias(n) if not hasattr(v, "cast") else v.cast("double").alias(n) for n, v in zip(("score", "x0", "y0", "x1", "y1"), c, strict=True)]
+    k = F.col("page_id") % 50
+    det = sup.where("page_id % 4 = 0").select("page_id", *box(0.25 + (F.col("page_id") % 3) / 8, k, 10, k + 24, 58)).unionByName(sup.where("page_id % 8 = 0").select("page_id", *box(0.125, 100, 200, 148, 224)))
+    pages = sup.select("page_id", F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.lit(500.0).alias("width"), F.lit(250.0).alias("height"), F.lit(1000).alias("width_px"), F.lit(1000).alias("height_px"))
+    areas = FR.image_areas(det, sup.where("page_id % 2 = 0"), FR.robust_hot_spots(blocks(spark, d)), pages)
+    found = FR.pixel_findings(areas, pages)
+    e = EV.evidence(found, EV.region_boxes(areas, pages)).select("doc_id", *[F.element_at("bbox", i + 1).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n"), F.element_at("detail", 1).cast("double").alias("score")).join(e, "doc_id")

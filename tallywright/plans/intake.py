@@ -115,6 +115,36 @@ def failed(spark, d):
     return SK.split_failed(X.stubs(spark, d), ["gross", "net"])[1].select("doc_id", "verdict", "error")
 
 
+_LOGGED = {"doc_id": "bigint", "kind": "string", "gross": "decimal(18,2)", "pay_date": "date"}
+
+
+@query("s12_upload_records", X.with_views("""
+SELECT CASE WHEN k % 50 <> 0 THEN doc_id END AS doc_id, CASE k % 50 WHEN 0 THEN 'broken record' WHEN 1 THEN 'gross is no decimal(18,2): ' || (gross_c // 100) || ' dollars' WHEN 2 THEN 'no value: pay_date'
+       WHEN 3 THEN 'unknown kind: exe' WHEN 4 THEN 'gross is no decimal(18,2): twelve; no value: pay_date' ELSE '' END AS error,
+       CASE WHEN k % 50 >= 5 OR k % 50 < 0 THEN 'typed' ELSE 'unreadable' END AS verdict FROM d_wide WHERE gross_c IS NOT NULL""", "d_wide"))
+def upload_records(spark, d):
+    """Upload records written as JSON lines, some broken in four ways, and read back: each is typed or reported, none is lost."""
+    w = X.view(spark, d, "d_wide").where("gross_c IS NOT NULL")
+    k = F.col("k") % 50
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.when(k == 3, "exe").otherwise("pdf").alias("kind"),
+                                F.when(k == 1, F.concat((F.floor(F.col("gross_c") / 100)).cast("string"), F.lit(" dollars"))).when(k == 4, "twelve").otherwise(X.money("gross_c").cast("string")).alias("gross"),
+                                F.when(~k.isin(2, 4), F.col("pay_date").cast("string")).alias("pay_date")))
+    path = scratch(spark, "upload-log")
+    w.select(F.when(k == 0, F.substring(record, 2, 1 << 20)).otherwise(record).alias("value")).write.text(path)
+    typed, failed = SK.typed_or_failed(SK.read_uploads_log(spark, path, _LOGGED), _LOGGED, ["doc_id", "pay_date"], ["pdf", "jpeg"])
+    return failed.select("doc_id", "error", "verdict").unionByName(typed.select("doc_id", F.lit("").alias("error"), F.lit("typed").alias("verdict")))
+
+
+@query("s9_xml_zones", "SELECT l_quantity::double AS x0, l_linenumber * 10.5::double AS y0, l_quantity + 1 + l_discount * 100 AS x1, l_linenumber * 10.5::double + 8 AS y1, count(*) AS n FROM lineitem GROUP BY ALL")
+def xml_zones(spark, d):
+    """Boxes of a table written as XML zones into the shared folder and read by their row tag."""
+    li = X.table(spark, d, "lineitem")
+    path = scratch(spark, "zones")
+    li.select(F.col("l_quantity").cast("double").alias("_x"), (F.col("l_linenumber") * 10.5).alias("_y"), (1 + F.col("l_discount") * 100).cast("double").alias("_width"), F.lit(8.0).alias("_height")) \
+        .write.format("xml").option("rootTag", "zones").option("rowTag", "zone").save(path)
+    return AN.read_zones(spark, path).groupBy("x0", "y0", "x1", "y1").agg(F.count("*").alias("n"))
+
+
 @query("s13_audit_trail", "SELECT action, count(*) AS n FROM (SELECT 'document.view' AS action FROM events UNION ALL SELECT 'document.review' FROM events WHERE event_type = 'error') x GROUP BY action")
 def audit(spark, d):
     e = X.table(spark, d, "events").select(F.lit(1).alias("org_id"), "user_id", "event_id", "event_type", F.col("ts").alias("at"))

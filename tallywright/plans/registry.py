@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.session import UNION_APART
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,7 +30,11 @@ def plain(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set(*UNION_APART)
+            return plain(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn

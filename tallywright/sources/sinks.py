@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,37 @@ def split_failed(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataF
     return marked.where(F.col("error").isNull()).drop("error"), failed
 
 
+CORRUPT = "_corrupt"
+
+
+def read_uploads_log(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Upload records in JSON lines, all values as text, with the line itself in `_corrupt` where it is no record. Nothing is dropped."""
+    schema = ", ".join(f"`{f}` STRING" for f in fields) + f", `{CORRUPT}` STRING"
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def typed_or_failed(records: DataFrame, fields: dict[str, str], required: list[str], kinds: list[str] | None = None, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(typed rows, unreadable reports): every record is in one of the two.
+
+    A record fails when its line is broken, a value is no value of its type, a required one is missing, or its kind is unknown. A report
+    carries the identifier where one could be read, the reasons in that order, and the line where nothing else is known.
+    """
+    cast = {f: F.col(f).try_cast(t) for f, t in fields.items()}
+    bad = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & cast[f].isNull(), F.concat(F.lit(f"{f} is no {t}: "), F.col(f))) for f, t in fields.items() if t != "string"]))
+    gone = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in required]))
+    kind = F.lit(None).cast("string") if kinds is None else F.when(~F.coalesce(F.col("kind"), F.lit("")).isin(kinds), F.concat(F.lit("unknown kind: "), F.coalesce("kind", F.lit("none"))))
+    broken = F.when(F.col(CORRUPT).isNotNull(), F.lit("broken record"))
+    reasons = F.when(broken.isNotNull(), F.array(broken)).otherwise(F.concat(
+        bad, F.when(F.size(gone) > 0, F.array(F.concat(F.lit("no value: "), F.array_join(gone, ", ")))).otherwise(F.array().cast("array<string>")),
+        F.array_compact(F.array(kind))))
+    marked = records.withColumn("_why", F.array_join(reasons, "; "))
+    typed = marked.where(F.col("_why") == "").select(*[cast[f].alias(f) for f in fields])
+    failed = marked.where(F.col("_why") != "").select(
+        cast[doc_id].alias("doc_id"), F.lit("error").alias("status"), F.lit("unreadable").alias("verdict"), F.lit(0).alias("risk"), F.lit("Could not be processed").alias("headline"),
+        F.col("_why").alias("error"), F.col(CORRUPT).alias("record"), F.lit("A second run; a document that fails twice needs to be looked at.").alias("needs"))
+    return typed, failed
+
+
 def audit_rows(events: DataFrame, action: str, target: str, detail=None) -> DataFrame:
     return events.select("org_id", "user_id", F.lit(action).alias("action"), F.col(target).cast("string").alias("target"),
                          (F.lit("") if detail is None else detail).alias("detail"), "at")
@@ -58,13 +91,33 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def model_versions(spark: SparkSession, store: str) -> DataFrame | None:
+    """The manifests of a model store: version, base_rows, labelled_rows, features, trained_at, path. Null when there is none."""
+    if not _exists(spark, f"{store}/manifest"):
+        return None
+    return spark.read.schema("version long, base_rows long, labelled_rows long, features array<string>, trained_at timestamp, path string").parquet(f"{store}/manifest/*")
+
+
+def add_model_version(model: PipelineModel, store: str, spark: SparkSession, base_rows: int, labelled_rows: int, features: list[str]) -> int:
+    """Write a model aside, then its manifest, which is what readers go by: a job that fails before that leaves the last version in place."""
+    known = model_versions(spark, store)
+    version = 1 + (0 if known is None else known.agg(F.max("version")).first()[0])
+    path = f"{store}/models/{version:06d}-{uuid.uuid4().hex}"
+    model.write().save(path)
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(base_rows).cast("long").alias("base_rows"), F.lit(labelled_rows).cast("long").alias("labelled_rows"),
+                                F.array(*[F.lit(f) for f in features]).alias("features"), F.current_timestamp().alias("trained_at"), F.lit(path).alias("path"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest/{version:06d}")
+    return version
+
+
 def load_newest_model(spark: SparkSession, stored: str, bundled: str | None = None) -> PipelineModel | None:
-    """A retrained model wins over the bundled one; null when there is none."""
-    jvm = spark.sparkContext._jvm
-    for path in (stored, bundled):
-        if path is None:
-            continue
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return PipelineModel.load(path)
-    return None
+    """A retrained model wins over the bundled one; null when there is none. `stored` is a model store, or the folder of one model."""
+    versions = model_versions(spark, stored)
+    if versions is not None:
+        return PipelineModel.load(versions.agg(F.max_by("path", "version")).first()[0])
+    return next((PipelineModel.load(path) for path in (stored, bundled) if path is not None and _exists(spark, path)), None)
