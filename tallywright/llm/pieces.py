@@ -181,9 +181,10 @@ def piece_model(path: str) -> PieceModel:
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", decoded: bool = False) -> DataFrame:
     """The rows of `docs` without their text, with n_tokens, ids and ends (of the pieces, in original bytes); with `decoded` also
     decoded_sha256, the digest of the text that the ids lead back to."""
-    path, seen = path or model_path(), fresh(docs, "seen")[0]
-    own = ["n_tokens", "ids", "ends", *["decoded_sha256"] * decoded]
-    carried = [c for c in docs.columns if c not in (text, *own)]
+    path = path or model_path()
+    # a column of `docs` with such a name, in whatever case, is carried along, and the new one has an underscore in front
+    seen, *own = fresh(docs, "seen", "n_tokens", "ids", "ends", *["decoded_sha256"] * decoded)
+    carried = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
@@ -199,7 +200,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", decode
                     [*b.schema.names[:-1], *own])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias(seen))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]] + ["n_tokens long, ids array<int>, ends array<int>" + ", decoded_sha256 string" * decoded])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]] + [f"`{n}` {t}" for n, t in zip(own, ("long", "array<int>", "array<int>", "string"))])
     return by_arrow(frame, run, schema)
 
 

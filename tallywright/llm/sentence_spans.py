@@ -113,8 +113,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of `docs` with their text cut, n_sentences and removed (spans of the old text, in code points)."""
-    docs = docs.drop("n_sentences", "removed")
+    """The rows of `docs` with their text cut, n_sentences and removed (spans of the old text, in code points). Where `docs` has a column of
+    such a name, in whatever case, it is carried along and the new one has an underscore in front."""
+    counted, spans_out = fresh(docs, "n_sentences", "removed")
     # the runs of one document: as many as its sentences at most; rows repeated as a whole share them
     places = repeated_runs(docs, doc_id, text, run, least_words).groupBy("id", "digest").agg(F.sort_array(F.collect_set("place")).alias("places"))
     key, digest, list_, seen = fresh(docs, "key", "digest", "places", "seen")
@@ -132,10 +133,10 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: in
                         for t, p in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
                 spans = pa.array([[{"start": x, "end": y} for x, y in r[2]] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), spans],
-                                                 [*b.schema.names[:-2], text, "n_sentences", "removed"])
+                                                 [*b.schema.names[:-2], text, counted, spans_out])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields[:-2]] + [f"`{text}` string, n_sentences long, removed array<struct<start:int,end:int>>"])
-    return by_arrow(met, rewrite, schema).select(*[F.col(f"`{c}`") for c in docs.columns], "n_sentences", "removed")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields[:-2]] + [f"`{text}` string, `{counted}` long, `{spans_out}` array<struct<start:int,end:int>>"])
+    return by_arrow(met, rewrite, schema).select(*[F.col(f"`{c}`") for c in docs.columns], counted, spans_out)
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

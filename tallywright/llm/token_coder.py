@@ -225,10 +225,11 @@ def parts_of(text: str) -> Iterator[str]:
         at = to
 
 
-def encode_files(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+def encode_files(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """(file, block, documents, tokens, payload): every text's ids and `end_id`, in ascending doc_id order, as one table of blocks.
 
-    Null identifiers come last; rows with equal identifiers stand in the order of a digest of their texts.
+    A special string inside a text becomes its id, as the library does it; with `special_as_text` it is spelled like other text, so
+    that no text can forge an end. Null identifiers come last; rows with equal identifiers stand in the order of a digest of their texts.
     """
     path = path or tokenizer_path()
 
@@ -238,7 +239,7 @@ def encode_files(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
         vocabulary, file, block = tokenizer.get_vocab_size(), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         filled = 0

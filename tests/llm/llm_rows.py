@@ -20,7 +20,7 @@ ROWS = [
     (9, "9 9 9 9 !!! ### $$$", None, "b", 19),
 ]
 #: Names that operators use inside or return.
-CLASHES = ("kept", "keep_id", "digest", "norm", "key", "nth", "copy", "score", "lang_pred", "spread", "fp", "root", "size", "ids_", "Digest_")
+CLASHES = ("kept", "keep_id", "digest", "norm", "key", "nth", "copy", "score", "lang_pred", "spread", "fp", "root", "size", "ids_", "Digest_", "IDS", "Ends", "n_tokens", "Removed", "n_sentences", "places", "same")
 
 
 @pytest.fixture(scope="session")

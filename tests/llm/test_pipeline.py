@@ -23,6 +23,16 @@ def test_stage_on_odd_and_empty_tables(spark, odd, none, name, stage):
     assert stage(spark, none, SF).count() == 0
 
 
+def test_last_stage_on_odd_and_empty_tables(spark, odd, none):
+    """Columns that are called like those the stage adds, in whatever case, come along."""
+    out = corpus_pipeline.encode(spark, odd, SF)
+    assert out.columns == [c for c in odd.columns if c != "text"] + ["_n_tokens", "_ids", "_ends", "decoded_sha256"]
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) == odd.count() and all(r._n_tokens == len(r._ids) == len(r._ends) for r in rows)
+    assert corpus_pipeline.encode(spark, none, SF).count() == 0
+
+
 def test_language_stage_drops_texts_without_letters(spark, odd):
     stay = {r.doc_id for r in corpus_pipeline.language(spark, odd, SF).collect()}
     assert {1, 2, 6} <= stay and not stay & {3, 4, 5, 9}

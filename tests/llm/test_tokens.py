@@ -42,9 +42,12 @@ def test_coder_extremes_and_damage():
         token_coder.write_block([1], np.array([1]), np.array([10]), 10)
 
 
-def library_ids(texts):
+SPECIAL = [(100, "before <|endoftext|> after"), (101, "<|endoftext|>"), (102, "a<|endoftext|>b <|endoftext|>\n<|endoftext")]
+
+
+def library_ids(texts, special_as_text=False):
     t = Tokenizer.from_file(token_coder.tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [t.encode(x or "", add_special_tokens=False).ids + [token_coder.END_ID] for x in texts]
 
 
@@ -69,12 +72,22 @@ def test_token_files(spark, odd, none, monkeypatch):
     assert token_coder.decode_files(token_coder.encode_files(none)).count() == 0
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_special_strings_in_texts(spark, special_as_text):
+    """Special strings are what the library makes of them, or plain text where that is asked for."""
+    blocks = token_coder.encode_files(spark.createDataFrame(SPECIAL, "doc_id long, text string"), special_as_text=special_as_text)
+    got = {r.doc_id: list(r.ids) for r in token_coder.decode_files(blocks).collect()}
+    assert got == dict(zip([d for d, _ in SPECIAL], library_ids([t for _, t in SPECIAL], special_as_text), strict=True))
+    assert (50256 in got[100]) != special_as_text
+
+
 def test_long_texts_are_cut_where_ids_do_not_change(monkeypatch):
     monkeypatch.setattr(token_coder, "PIECE", 5)
     t = Tokenizer.from_file(token_coder.tokenizer_path())
-    t.encode_special_tokens = True
-    for x in odd_texts(" \n\t\r ab'sé中😀12!?<|endoftext|>\xa0"):
-        assert [i for p in token_coder.parts_of(x) for i in t.encode(p, add_special_tokens=False).ids] == t.encode(x, add_special_tokens=False).ids
+    for special_as_text in (True, False):
+        t.encode_special_tokens = special_as_text
+        for x in [*odd_texts(" \n\t\r ab'sé中😀12!?<|endoftext|>\xa0"), *(s for _, s in SPECIAL), "ab <|endoftext|> <|endoftext|>  cd\n<|endoftext|>\n" * 3]:
+            assert [i for p in token_coder.parts_of(x) for i in t.encode(p, add_special_tokens=False).ids] == t.encode(x, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
