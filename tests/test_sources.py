@@ -52,17 +52,17 @@ def test_schema_evolution(spark, tmp_path):
     assert got == {1: False, 2: True}
 
 
-def test_repeated_batch_replaces_itself(spark, tmp_path):
+def test_repeated_batch_counts_once(spark, tmp_path):
     from conftest import SF
-    from tallywright.plans import fixtures as X
+    from tallywright.plans.fixtures import TODAY
+    from tallywright.plans.intake import arrivals
     from tallywright.streaming import incremental as ST
-    from pyspark.sql import functions as F
-    stubs = X.stubs(spark, SF).withColumn("sha256", F.lit(None).cast("string"))
-    t = ST.Tables(str(tmp_path / "s"))
-    todo = stubs.where("doc_id < 50").select("doc_id")
+    x = arrivals(spark, SF)
+    store = ST.Store(str(tmp_path / "s"), 4)
+    todo = x.documents.where("doc_id < 50").select("doc_id", "arrived")
     for _ in range(2):
-        ST.process_batch(spark, todo, 0, t, stubs, X.stub_lines(spark, SF), X.TODAY)
-    assert spark.read.parquet(t.all("reports")).count() == 50
-    ST.reanalyze(spark, todo.where("doc_id < 5"), t, 1, stubs, X.stub_lines(spark, SF), X.TODAY)
-    assert spark.read.parquet(t.all("reports")).count() == 55
-    assert ST.newest(spark.read.parquet(t.all("reports")), "doc_id").count() == 50
+        ST.process_batch(spark, todo, "first", store, x, TODAY)
+    assert store.read(spark, "reports").count() == 50
+    ST.reanalyze(spark, todo.where("doc_id < 5"), "again", store, x, TODAY)
+    assert store.read(spark, "reports").count() == 55
+    assert ST.documents_of(spark, store).count() == 50
