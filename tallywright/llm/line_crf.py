@@ -5,8 +5,10 @@ lines, and Viterbi decoding finds the best labelling of the whole text. A docume
 KEEP_SHARE of its words stand in content lines.
 
 Weights are fitted here, by gradient ascent on the conditional likelihood, to a bounded sample of labelled documents: SAMPLE_DOCUMENTS
-of them, chosen by a hash of the identifier, and the first SAMPLE_LINES lines of each (lines of documents of quality 1 count as
-content, of quality 0 as boilerplate). Decoding runs over every line of every document, many documents side by side.
+of them, chosen by a hash of the identifier, and of each a stretch of at most SAMPLE_LINES lines, whose place is drawn from the identifier.
+Lines of documents of quality 1 count as content, of quality 0 as boilerplate. So that labels change within a text, stretches of the one
+kind are interleaved with stretches of the other (`interleaved`); the chain learns from these mixed texts and from the whole ones.
+Decoding runs over every line of every document, many documents side by side; `judged` returns the mark of every line.
 
 Defined cases: a null or empty text has no words, fails the base rules and is dropped; without labelled documents every line counts
 as content and the base rules alone decide; of two scores that are equal the label content wins; repeated rows are separate documents;
@@ -16,6 +18,7 @@ null identifiers are not learned from; an empty table gives an empty table; extr
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +31,8 @@ from tallywright.llm.common import by_arrow, documents
 
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 3000, 200
 KEEP_SHARE = 0.5
+#: Longest stretch of one label inside a mixed training text.
+STRETCH = 4
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 NOTICE = re.compile(r"https?:|www\.|@\w|©|\b(?:copyright|licen[cs]ed?|cookies?|privacy|subscribe|newsletter|log ?in|sign ?up|javascript|all rights)\b", re.IGNORECASE)
 WORDLESS = re.compile(rb"[^A-Za-z\x80-\xff]+\Z").match
@@ -84,14 +89,14 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def describe(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), and features and word counts of the lines that have words."""
+def describe(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), and features, word counts and numbers of the lines that have words."""
     text = text or ""
     words = text.encode("utf-8", "replace").split()
     seen: set[str] = set()
-    bits, sizes, again = [], [], 0
+    bits, sizes, numbers, again = [], [], [], 0
     lines = text.split("\n")
-    for line, kinds in zip(lines, kinds_by_line(lines).tolist(), strict=True):
+    for number, (line, kinds) in enumerate(zip(lines, kinds_by_line(lines).tolist(), strict=True)):
         own = line.encode("utf-8", "replace").split()
         if own:
             old = line in seen
@@ -99,8 +104,16 @@ def describe(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]
             seen.add(line)
             bits.append(line_features(line, own, old, *kinds))
             sizes.append(len(own))
+            numbers.append(number)
     base = (len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), again, repeated_words(words))
-    return base, np.array(bits, np.int64), np.array(sizes, np.int64)
+    return base, np.array(bits, np.int64), np.array(sizes, np.int64), np.array(numbers, np.int64)
+
+
+def stretch(text: str | None, doc_id: int) -> str:
+    """At most SAMPLE_LINES neighbouring lines of a text, from a place drawn from the identifier."""
+    lines = (text or "").split("\n")
+    at = zlib.crc32(str(doc_id).encode()) % max(len(lines) - SAMPLE_LINES + 1, 1)
+    return "\n".join(lines[at:at + SAMPLE_LINES])
 
 
 def as_matrix(bits: np.ndarray) -> np.ndarray:
@@ -159,22 +172,41 @@ def viterbi(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return labels
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood by gradient ascent with momentum; every sequence of features has one label for all its lines."""
+def interleaved(sequences: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mixed texts: stretches of one to STRETCH lines of a sequence with label 1 alternate with such of one with label 0, in order, until
+    one of the two is used up; the rest of the other ends the text. The draws depend on the place in the list alone."""
+    kinds = [[bits for bits, y in sequences if y == label and len(bits)] for label in (0, 1)]
+    out = []
+    for k, pair in enumerate(zip(*kinds, strict=False)):
+        rng = np.random.default_rng(k)
+        at, label, parts = [0, 0], int(rng.integers(2)), []
+        while min(len(pair[0]) - at[0], len(pair[1]) - at[1]) > 0:
+            part = pair[label][at[label]:at[label] + int(rng.integers(1, STRETCH + 1))]
+            parts.append((part, label))
+            at[label] += len(part)
+            label = 1 - label
+        parts += [(pair[y][at[y]:], y) for y in (0, 1) if at[y] < len(pair[y])]
+        out.append((np.concatenate([part for part, _ in parts]), np.concatenate([np.full(len(part), y) for part, y in parts])))
+    return out
+
+
+def fit(sequences: list[tuple[np.ndarray, int | np.ndarray]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Chain:
+    """Maximum conditional likelihood by gradient ascent with momentum; a sequence of features has one label for all its lines, or one for each."""
     sequences = sorted((s for s in sequences if len(s[0])), key=lambda s: -len(s[0]))
     if not sequences:
         return Chain()
     features = [as_matrix(bits) for bits, _ in sequences]
-    lengths, gold = np.array([len(f) for f in features]), np.array([y for _, y in sequences], np.float64)
+    lengths = np.array([len(f) for f in features])
     steps, n, total = int(lengths[0]), len(sequences), int(lengths.sum())
-    cube = np.zeros((steps, n, FEATURES))
-    for i, f in enumerate(features):
+    cube, gold = np.zeros((steps, n, FEATURES)), np.zeros((steps, n))
+    gold_move = np.zeros((2, 2))
+    for i, (f, (_, y)) in enumerate(zip(features, sequences, strict=True)):
         cube[:len(f), i] = f
+        gold[:len(f), i] = y
+        own = gold[:len(f), i].astype(int)
+        np.add.at(gold_move, (own[:-1], own[1:]), 1)
     live = [int(np.searchsorted(-lengths, -t)) for t in range(steps)]
-    gold_emit = np.einsum("tnf,n->f", cube, gold)
-    gold_move = np.zeros((2, 2))
-    for y in (0, 1):
-        gold_move[y, y] = (lengths[gold == y] - 1).sum()
+    gold_emit = np.einsum("tnf,tn->f", cube, gold)
     emit, move = np.zeros(FEATURES), np.zeros((2, 2))
     pull_emit, pull_move = np.zeros(FEATURES), np.zeros((2, 2))
     for _ in range(rounds):
@@ -214,34 +246,38 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [describe("\n".join((t or "").split("\n", SAMPLE_LINES)[:SAMPLE_LINES]))[1].tolist() for t in b.column(2).to_pylist()]
+            lines = [describe(stretch(t, d))[1].tolist() for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.int32()))], ["doc_id", "quality", "bits"])
 
     # an identifier may have any number of rows: cut again, by rows, in the same order
     chosen = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCUMENTS)
               .select("doc_id", "quality", "text"))
     rows = by_arrow(chosen, run, "doc_id long, quality int, bits array<int>").collect()  # at most SAMPLE_DOCUMENTS rows, SAMPLE_LINES numbers each
-    return fit([(np.array(r.bits, np.int64), r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.bits))])
+    whole = [(np.array(r.bits, np.int64), r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.bits))]
+    return fit([*whole, *interleaved(whole)])
 
 
 def judged(docs: DataFrame, chain: Chain, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """One row a document: the base figures, content_lines, content_share, base_failed and kept."""
+    """One row a document: the base figures, content_lines, content_share, base_failed and kept, and marks: a letter for every line of
+    the text (split at line feeds), c for content, b for boilerplate and - for a line without words."""
     schema = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-              "n_lines long, content_lines long, content_share double, kept boolean")
+              "n_lines long, content_lines long, content_share double, kept boolean, marks string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 told = [describe(t.as_py()) for t in b.column(1)]
-                marks = viterbi([chain.scores(bits) for _, bits, _ in told], chain.move)
+                marks = viterbi([chain.scores(bits) for _, bits, _, _ in told], chain.move)
                 rows = []
-                for (base, bits, sizes), on in zip(told, marks, strict=True):
+                for text, (base, bits, sizes, numbers), on in zip(b.column(1).to_pylist(), told, marks, strict=True):
                     share = float((sizes * on).sum() / sizes.sum()) if len(sizes) else 0.0
                     failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-                    rows.append((*base, failed, len(bits), int(on.sum()), share, not failed and share >= keep_share))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 10
-                kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+                    letters = np.full((text or "").count("\n") + 1, ord("-"), np.uint8)
+                    letters[numbers] = np.where(on == 1, ord("c"), ord("b"))
+                    rows.append((*base, failed, len(bits), int(on.sum()), share, not failed and share >= keep_share, letters.tobytes().decode("ascii")))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 11
+                kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in schema.split(", ")])
 
     return by_arrow(docs.select("doc_id", "text"), run, schema)

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import by_arrow, documents, fresh, id_key, stored, text_digest
 
 RUN = 2
-LEAST_WORDS = 12
+LEAST_WORDS = 20
 LARGEST = (1 << 63) - 1
-PLACE = 16
+#: Places count sentences in this base; a run has at most so many.
+PLACE = 32
 #: Between sentences: white space after a closing mark, or a line break.
 GAP = re.compile(r"(?<=[.!?…])[ \t\v\f\r]+|[ \t\v\f\r]*\n\s*")
 
@@ -47,7 +48,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str, spans: list[tuple[int, int]], run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
-    """(place, hash) of every run; a place is sixteen times the number of the first sentence, plus the number of sentences less one."""
+    """(place, hash) of every run; a place is PLACE times the number of the first sentence, plus the number of sentences less one."""
+    if max(run, least_words) > PLACE:
+        raise ValueError(f"a run may need at most {PLACE} sentences")
     words = [text[a:b].encode("utf-8", "replace").lower().split() for a, b in spans]
     out = []
     for i in range(len(spans)):
