@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallywright import constants as K
 from tallywright.functions import geometry as G
 from tallywright.functions import text as T
+from tallywright.operators import decide as D
 from tallywright.operators import file_rules as R
 from tallywright.operators import rows as RW
 from tallywright.operators import bank_rules as B
@@ -59,6 +60,18 @@ def modified(spark, d):
     return R.metadata_findings(files(spark, d)).where(F.col("code") == "F_MODIFIED").select("doc_id", "what")
 
 
+@query("j13_file_checks", sql("""
+SELECT doc_id, code FROM (
+  SELECT doc_id, unnest([CASE WHEN prod <> '' THEN 'F_EDITOR' END, CASE WHEN coalesce(created, '') <> '' AND coalesce(modified, '') <> '' THEN 'F_MODIFIED' END,
+    'F_INCREMENTAL', 'F_STACKED', 'F_ANNOT', CASE WHEN len(regexp_extract_all(text, '[0-9]+')) >= 5 THEN 'F_FONT' END]) AS code FROM m2 WHERE kind = 'pdf' AND doc_id % 7 <> 0) a
+WHERE code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM meta f WHERE f.doc_id = a.doc_id AND (f.code = a.code OR (f.code = 'F_OFFICE' AND a.code = 'F_FONT')))"""))
+def file_checks(spark, d):
+    """Checks that a file passed; numbers in its text stand for amounts, every seventh text was read by OCR."""
+    docs = files(spark, d).withColumn("ocr_used", F.col("doc_id") % 7 == 0)
+    amounts = docs.select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).alias("n"))
+    return D.passed_checks(D.pdf_applicability(docs, amounts), R.metadata_findings(docs)).select("doc_id", "code")
+
+
 @query("f2_pdf_date", sql("SELECT doc_id, cast(c AS varchar) AS created FROM m1"))
 def pdf_date(spark, d):
     return files(spark, d).select("doc_id", T.pdf_timestamp(F.col("created")).alias("created"))

@@ -61,11 +61,13 @@ f AS (SELECT *, bg - dark AS con, grey < bg - 0.5::double * (bg - dark) AS ink,
 f2 AS (SELECT *, edge AND grey > dark + 0.25::double * con AND grey < bg - 0.25::double * con AS mid FROM f)
 SELECT page_id, rw, cl, round(count(*) FILTER (ink) / count(*), 6) AS ink_frac, round(any_value(bg), 6) AS bg, round(any_value(con), 6) AS contrast,
   round(list_avg(list_sort(list(grad), 'DESC')[1:57]) / (any_value(con) + 1), 6) AS sharp, round(count(*) FILTER (mid) / greatest(count(*) FILTER (edge), 1), 6) AS soft,
-  round(""" + _MEAN.format(m="edge", v="hp") + ", 6) AS hp, round(" + _MEAN.format(m="edge", v="e90") + """, 6) AS ela90_ink, round(max(CASE WHEN edge THEN e90 ELSE 0 END), 6) AS ela90_max
+  round(""" + _MEAN.format(m="edge", v="hp") + ", 6) AS hp, round(" + _MEAN.format(m="edge", v="e90") + """, 6) AS ela90_ink, round(max(CASE WHEN edge THEN e90 ELSE 0 END), 6) AS ela90_max,
+  round(any_value(dark), 6) AS dark, round(sqrt(greatest(""" + _MEAN.format(m="paper", v="grey * grey") + " - power(" + _MEAN.format(m="paper", v="grey") + """, 2), 0)), 5) AS noise,
+  round(""" + _MEAN.format(m="edge", v="chroma") + ", 6) AS chroma, round(" + _MEAN.format(m="edge", v="e75") + ", 6) AS ela75_ink, round(" + _MEAN.format(m="paper", v="e90") + """, 6) AS ela90_bg
 FROM f2 GROUP BY page_id, rw, cl HAVING count(*) = 576""")
 def cell_measures(spark, d):
     m = C.cell_measures(C.pixel_measures(pixels(spark, d), least_cells=1))
-    return m.select("page_id", "rw", "cl", *[F.round(c, 6).alias(c) for c in ("ink_frac", "bg", "contrast", "sharp", "soft", "hp", "ela90_ink", "ela90_max")])
+    return m.select("page_id", "rw", "cl", *[F.round(c, 5 if c == "noise" else 6).alias(c) for c in K.CELL_MEASURES])
 
 
 @query("g3_inked_cells", sql("SELECT page_id, cast(rw AS bigint) AS rw, cast(cl AS bigint) AS cl FROM d_cells WHERE ink_frac > 0.03 AND contrast > 50 QUALIFY count(*) OVER (PARTITION BY page_id) >= 12"))
