@@ -200,10 +200,18 @@ def money_spans(spark, d):
     return both.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("x0").alias("x0"))
 
 
-@query("t20_report_fields", sql("SELECT doc_id, cast(pay_date AS varchar) AS pay_date, employee FROM d_wide", None))
+_TEXTS = ("filename", "verdict", "decision", "status", "employer", "employee", "applicant", "period_start", "period_end", "pay_date", "frequency", "frequency_stated", "ocr_used")
+_SUMS = {"gross": "gross_c", "gross_ytd": "gross_ytd_c", "net": "net_c", "total_deductions": "total_c"}
+
+
+@query("t20_report_fields", sql(f"""
+SELECT doc_id, {', '.join(f'cast({c} AS varchar) AS {c}' for c in _TEXTS)}, cast(cast(created_on AS timestamp) AS varchar) AS created, app_id::double AS app_id,
+  {', '.join(f'{cents} / 100.0 AS {c}' for c, cents in _SUMS.items())}, CASE WHEN gross_ytd_c IS NOT NULL THEN net_c * n_periods / 100.0 END AS net_ytd FROM d_wide""", None))
 def report_fields(spark, d):
+    """Every field of a stub, read back from the stored text."""
     j = E.report_fields(X.stubs(spark, d))
-    return j.select("doc_id", F.get_json_object("fields", "$.pay_date").alias("pay_date"), F.get_json_object("fields", "$.employee").alias("employee"))
+    field = lambda c: F.get_json_object("fields", f"$.{c}")
+    return j.select("doc_id", *[field(c).alias(c) for c in (*_TEXTS, "created")], *[field(c).cast("double").alias(c) for c in ("app_id", *_SUMS, "net_ytd")])
 
 
 @query("t15_t17_bank_lines", X.with_views("SELECT doc_id, cast(dt AS varchar) AS date, descr AS \"desc\", amount_c/100.0 AS amount, balance_c/100.0 AS balance FROM o_txns", "o_txns"))
