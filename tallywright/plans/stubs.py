@@ -213,12 +213,15 @@ def code_flags(spark, d):
 @query("a10_numeric_features", sql("""
 SELECT s.doc_id, round(least(coalesce(max(abs(gross_c - used_c - net_c) / greatest(gross_c, 100)::double) FILTER (code = 'C_NET_MATH'), 0), 2), 9) AS rel_net_err,
        (1 + s.doc_id % 8 > 6)::int * 6.0::double + (1 + s.doc_id % 8 <= 6)::int * (1 + s.doc_id % 8)::double AS n_revisions,
-       s.ocr_used::int::double AS ocr_used, count(f.code)::double AS n_findings, 1.0::double AS is_pdf
+       s.ocr_used::int::double AS ocr_used, count(f.code)::double AS n_findings, 1.0::double AS is_pdf,
+       round(least(coalesce(max(abs(CASE code WHEN 'C_FICA_SS' THEN round_even(cast(ss_c AS decimal(18,2)) * 1000 / 62, 0) WHEN 'C_FICA_MED' THEN round_even(cast(med_c AS decimal(18,2)) * 10000 / 145, 0) END - gross_c) / gross_c::double), 0), 2), 9) AS rel_fica_err,
+       CASE WHEN s.doc_id % 5 = 0 THEN 0 ELSE s.doc_id % 4 END::double AS n_money_fonts
 FROM w2 s LEFT JOIN stub_findings f ON f.doc_id = s.doc_id GROUP BY s.doc_id, s.ocr_used"""))
 def numeric_features(spark, d):
     docs = X.stubs(spark, d).select("doc_id", "ocr_used", (F.col("doc_id") % 8 + 1).cast("int").alias("n_eof"), F.lit("pdf").alias("kind"))
-    f = D.feature_rows(docs, findings(spark, d))
-    return f.select("doc_id", F.round("rel_net_err", 9).alias("rel_net_err"), "n_revisions", "ocr_used", "n_findings", "is_pdf")
+    fonts = docs.where("doc_id % 5 <> 0").select("doc_id", (F.col("doc_id") % 4).alias("n_families"))
+    f = D.feature_rows(docs, findings(spark, d), fonts)
+    return f.select("doc_id", *[F.round(c, 9).alias(c) for c in ("rel_net_err", "rel_fica_err")], "n_revisions", "n_money_fonts", "ocr_used", "n_findings", "is_pdf")
 
 
 @query("j13_passed_checks", sql("""
